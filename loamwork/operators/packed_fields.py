@@ -10,9 +10,8 @@ dictionary decides only where marks are missing or stray; delimiters inside a
 quoted value are never separators.
 
 Defined results: null, empty and separator-only fields give no rows; repeated
-names stay; empty quotes are no name; equal texts give equal results; a very
-long text is cut at places where no quoted or known value can span, so memory
-stays linear. Other columns are ignored.
+names stay; empty quotes are no name; equal texts give equal results; time and
+memory are linear in a text's length. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,10 +77,7 @@ class Segmenter:
 
     def split(self, text: str | None) -> list[str]:
         """Names of the best cover, in order."""
-        clean = clean_values(text)
-        return clean if clean is not None else self.best_cover(text)
-
-    def best_cover(self, text: str) -> list[str]:
+        text = text or ""
         n = len(text)
         pieces: dict[int, list[tuple[int, str, int]]] = {}  # start -> (end, value, known)
 
