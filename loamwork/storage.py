@@ -56,16 +56,16 @@ class Run:
 
     Joins of two runs with the same number of buckets need no shuffle. The
     files lie in the shared folder; only the name is held in the session's
-    catalog.
+    catalog. ``placed``: the rows are in that order of partitions already.
     """
 
-    def __init__(self, df: DataFrame, key: str, buckets: int, name: str = "run") -> None:
+    def __init__(self, df: DataFrame, key: str, buckets: int, name: str = "run", placed: bool = False) -> None:
         spark = df.sparkSession
         self.spark, self.key, self.buckets = spark, key, buckets
         self.path = new_path(spark, name)
         self.table = f"loamwork_{name}_{uuid.uuid4().hex}"
         (
-            df.repartition(buckets, key)
+            (df if placed else df.repartition(buckets, key))
             .write.format("parquet")
             .option("compression", "zstd")
             .option("path", self.path)
