@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamwork.llm.leakage import find_leaks, remove_leaks
 from loamwork.llm.ledger import build_ledger, definition_keys, parsed_dependency_keys
+from loamwork.llm.packing import fill, pack
 from loamwork.llm.shared_spans import shared_share, sharing_pairs
 from loamwork.sources.tables import table
 
@@ -29,6 +30,14 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return a.union(b)
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), table(spark, d, "pack_containers"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill(p7_packed(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -45,7 +54,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p8_found, p8_removed, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p7_packed, p7_fill, p8_found, p8_removed, p9_found, p9_shared)}
 
 _L = lambda c: f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
 _ORDERED = ["sourceserver", "sourcedatabase", "sourceschema", "sourceobject", "operationtype", "targetserver", "targetdatabase"]
