@@ -76,6 +76,7 @@ def like_regex(pattern: Column | str) -> Column:
     c = F.lower(col(pattern))
     c = F.regexp_replace(c, r"([\\.^$|?*+(){}])", r"\\$1")
     c = F.regexp_replace(c, r"\[\\\^", "[^")
-    c = F.regexp_replace(c, "%", ".*")
-    c = F.regexp_replace(c, "_", ".")
+    c = F.regexp_replace(c, r"%(?![^\[]*\])", ".*")
+    c = F.regexp_replace(c, r"_(?![^\[]*\])", ".")
+    c = F.regexp_replace(c, r"\[(?![^\[]*\])", r"\\[")
     return F.concat(F.lit("(?s)^"), c, F.lit("$"))
