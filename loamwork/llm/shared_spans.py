@@ -194,7 +194,7 @@ def _verify(chains: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFr
     slack = span - gram
     left = chains.select(F.col("a").alias("cls"), "start", "size")
     right = chains.select(F.col("b").alias("cls"), (F.col("start") + F.col("shift")).alias("start"), "size")
-    context = _context(texts, left.union(right), slack)
+    context = settle(_context(texts, left.union(right), slack), "context")  # read twice below
     x = context.select(F.col("cls").alias("a"), "start", "size", F.struct("before", "digest", "after").alias("x"))
     y = context.select(F.col("cls").alias("b"), F.col("start").alias("start_b"), "size", F.struct("before", "digest", "after").alias("y"))
     both = chains.join(x, ["a", "start", "size"]).withColumn("start_b", F.col("start") + F.col("shift")).join(y, ["b", "start_b", "size"]).where("x.digest = y.digest")
