@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.storage import drop, settle
+from loamwork.storage import Parts, drop, settle
 
 
 def _links(links: DataFrame, parent: Column, child: Column) -> tuple[DataFrame, DataFrame]:
@@ -32,34 +32,21 @@ def _links(links: DataFrame, parent: Column, child: Column) -> tuple[DataFrame,
     return nodes, edges
 
 
-def _pairs(edges: DataFrame, levels: int = 4, merge_at: int = 6) -> DataFrame:
-    """All (anc, node) over one or more links.
-
-    ``levels`` levels go into one job. Reached pairs are kept in parts, which
-    are merged when there are ``merge_at`` of them.
-    """
-    frontier = edges.select(F.col("src").alias("anc"), F.col("dst").alias("node"))
-    parts = [settle(frontier, "pairs")]
-    frontier = parts[0]
+def _pairs(edges: DataFrame, levels: int = 4) -> DataFrame:
+    """All (anc, node) over one or more links; ``levels`` levels go into one job."""
+    frontier = settle(edges.select(F.col("src").alias("anc"), F.col("dst").alias("node")), "pairs")
+    reached = Parts(frontier, "pairs")
     while True:
         step, found = frontier, None
         for level in range(1, levels + 1):
             step = step.join(edges, step.node == edges.src).select("anc", F.col("dst").alias("node")).distinct()
             leveled = step.withColumn("level", F.lit(level))
             found = leveled if found is None else found.union(leveled)
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.union(p)
-        fresh = settle(found.groupBy("anc", "node").agg(F.min("level").alias("level")).join(seen, ["anc", "node"], "left_anti"), "fresh")
+        fresh = settle(found.groupBy("anc", "node").agg(F.min("level").alias("level")).join(reached.df(), ["anc", "node"], "left_anti"), "pairs")
         if fresh.isEmpty():
-            return seen
-        parts.append(fresh.select("anc", "node"))
+            return reached.df()
+        reached.add(fresh)
         frontier = fresh.where(F.col("level") == levels).select("anc", "node")
-        if len(parts) >= merge_at:
-            merged = parts[0]
-            for p in parts[1:]:
-                merged = merged.union(p)
-            parts = [settle(merged, "pairs")]
 
 
 def descendants(links: DataFrame, parent: Column, child: Column) -> DataFrame:
@@ -76,38 +63,22 @@ def _walk(start: DataFrame, edges: DataFrame, names: DataFrame, separator: str,
 
     Levels are joined one after another; ``levels`` of them make one job.
     """
-    reached = settle(start, "reached")
-    frontier, parts = reached, [reached]
+    frontier = settle(start, "reached")
+    reached = Parts(frontier, "reached")
     step_edges = edges.join(names, edges.dst == names.id).select("src", "dst", "name")
+    best = lambda df: df.groupBy("node").agg(F.min(F.struct("depth", "path", "root")).alias("best"))
     while True:
         step, found = frontier, None
         for _ in range(levels):
-            step = (
-                step.join(step_edges, step.node == step_edges.src)
-                .select(F.col("dst").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit(separator), "name").alias("path"))
-                .groupBy("node")
-                .agg(F.min(F.struct("depth", "path", "root")).alias("best"))
-                .select("node", "best.root", "best.depth", "best.path")
-            )
+            grown = step.join(step_edges, step.node == step_edges.src).select(F.col("dst").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit(separator), "name").alias("path"))
+            step = best(grown).select("node", "best.root", "best.depth", "best.path")
             found = step if found is None else found.union(step)
-        seen = parts[0].select("node")
-        for p in parts[1:]:
-            seen = seen.union(p.select("node"))
-        best = found.groupBy("node").agg(F.min(F.struct("depth", "path", "root")).alias("best")).join(seen, "node", "left_anti")
-        fresh = settle(best.select("node", "best.root", "best.depth", "best.path"), "reached")
+        unseen = best(found).join(reached.df().select("node"), "node", "left_anti")
+        fresh = settle(unseen.select("node", "best.root", "best.depth", "best.path"), "reached")
         if fresh.isEmpty():
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.union(p)
-            return out
-        parts.append(fresh)
-        last = fresh.agg(F.max("depth")).first()[0]
-        frontier = fresh.where(F.col("depth") == last)
-        if len(parts) >= 6:
-            merged = parts[0]
-            for p in parts[1:]:
-                merged = merged.union(p)
-            parts = [settle(merged, "reached")]
+            return reached.df()
+        reached.add(fresh)
+        frontier = fresh.where(F.col("depth") == fresh.agg(F.max("depth")).first()[0])
 
 
 def hierarchy(links: DataFrame, parent: Column, child: Column, separator: str = " -> ") -> DataFrame:

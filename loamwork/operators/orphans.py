@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.names import full_key
-from loamwork.storage import settle
+from loamwork.storage import Parts, settle
 
 
 def existences(records: DataFrame, keys: list[Column], begins: Column, ends: Column) -> DataFrame:
@@ -41,33 +41,23 @@ def direct_orphans(references: DataFrame, key: Column, at: Column, records: Data
     return left.join(r, hit, "left_anti").drop("__key", "__at")
 
 
-def cascade(references: DataFrame, orphaned: DataFrame, key: Column, owner_keys: list[Column], row_id: str, max_rounds: int = 1000) -> DataFrame:
+def cascade(references: DataFrame, orphaned: DataFrame, key: Column, owner_keys: list[Column], row_id: str, max_rounds: int = 1_000_000) -> DataFrame:
     """(row_id, hop): 0 for the rows of ``orphaned``, n for rows that refer to the owner of a row of hop n - 1.
 
     Works on distinct (referred key, owner keys), so a hot owner costs one row a round.
     """
     owners = F.array(*owner_keys)
     edges = settle(references.select(key.alias("key"), owners.alias("owners")).where("key is not null").distinct(), "fk")
-    tainted = settle(orphaned.select(F.explode(owners).alias("key")).where("key is not null").distinct().withColumn("hop", F.lit(0)), "tainted")
-    frontier, parts = tainted, [tainted]
+    frontier = settle(orphaned.select(F.explode(owners).alias("key")).where("key is not null").distinct().withColumn("hop", F.lit(0)), "tainted")
+    tainted = Parts(frontier, "tainted")
     for hop in range(1, max_rounds):
-        seen = parts[0].select("key")
-        for p in parts[1:]:
-            seen = seen.union(p.select("key"))
         hit = edges.join(frontier.select("key"), "key", "left_semi").select(F.explode("owners").alias("key")).where("key is not null").distinct()
-        fresh = settle(hit.join(seen, "key", "left_anti").withColumn("hop", F.lit(hop)), "tainted")
+        fresh = settle(hit.join(tainted.df().select("key"), "key", "left_anti").withColumn("hop", F.lit(hop)), "tainted")
         if fresh.isEmpty():
             break
-        parts.append(fresh)
+        tainted.add(fresh)
         frontier = fresh
-        if len(parts) >= 8:
-            merged = parts[0]
-            for p in parts[1:]:
-                merged = merged.union(p)
-            parts = [settle(merged, "tainted")]
-    levels = parts[0]
-    for p in parts[1:]:
-        levels = levels.union(p)
+    levels = tainted.df()
     levels = levels.groupBy(F.col("key").alias("__key")).agg(F.min("hop").alias("__hop"))
     direct = orphaned.select(row_id, F.lit(0).alias("hop"))
     rest = references.withColumn("__key", key).join(levels, "__key").join(orphaned.select(F.col(row_id)).distinct(), row_id, "left_anti")

@@ -46,6 +46,33 @@ def drop(df: DataFrame | None) -> None:
         delete(df.sparkSession, path)
 
 
+class Parts:
+    """Settled frames of one loop, read as one; merged when there are many, and removed when merged.
+
+    A frame that is still the loop's frontier when it is merged is removed one merge later.
+    """
+
+    def __init__(self, first: DataFrame, name: str, most: int = 6) -> None:
+        self.frames, self.name, self.most = [first], name, most
+        self.stale: list[DataFrame] = []
+
+    def df(self) -> DataFrame:
+        out = self.frames[0]
+        for f in self.frames[1:]:
+            out = out.union(f.select(*out.columns))
+        return out
+
+    def add(self, frame: DataFrame) -> None:
+        """Take in a settled frame, which the caller may go on reading until the next call."""
+        self.frames.append(frame)
+        for f in self.stale:
+            drop(f)
+        self.stale = []
+        if len(self.frames) >= self.most:
+            merged = settle(self.df(), self.name)
+            self.stale, self.frames = self.frames, [merged]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
