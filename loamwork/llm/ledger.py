@@ -80,10 +80,16 @@ class Ledger:
     def copies(self, records: DataFrame) -> DataFrame:
         """(first_id, copy_id) of records (key, id) that aren't the first of their key.
 
-        Keys without copies are left out of the join; the records may be skewed to a key, the ledger is not.
+        Keys without copies are left out. At most a thousand keys can hold more than a thousandth of
+        the records each; those are broadcast, so a hot key's records stay where they are.
         """
-        dup = self.df().where("copies > 1")
-        return records.join(dup, "key").where("id <> first_id").select("first_id", F.col("id").alias("copy_id"))
+        dup = self.df().where("copies > 1").select("key", "first_id", "copies")
+        total = self.df().agg(F.sum("copies")).first()[0] or 0
+        hot = dup.where(F.col("copies") * 1000 > total).select("key", F.col("first_id").alias("hot_id"))
+        marked = records.join(F.broadcast(hot), "key", "left")
+        of_hot = marked.where("id <> hot_id").select(F.col("hot_id").alias("first_id"), F.col("id").alias("copy_id"))
+        rest = marked.where("hot_id is null").join(dup, "key").where("id <> first_id").select("first_id", F.col("id").alias("copy_id"))
+        return of_hot.union(rest)
 
 
 def build_ledger(records: DataFrame, batches: int, buckets: int = 24) -> Ledger:
