@@ -10,13 +10,14 @@ from loamwork.llm.ledger import build_ledger, definition_keys, parsed_dependency
 from loamwork.llm.packing import fill, pack
 from loamwork.llm.shared_spans import shared_share, sharing_pairs
 from loamwork.sources.tables import table
+from loamwork.storage import settle
 
 BATCHES = 3
 
 
 def _ledgers(spark: SparkSession, d: str):  # noqa: ANN202
     for name, keys in (("lng_objectparseddependency", parsed_dependency_keys), ("lng_objectdefinitions", definition_keys)):
-        records = keys(table(spark, d, name))
+        records = settle(keys(table(spark, d, name)), "keys")  # keys are made once, not for each batch
         yield name, records, build_ledger(records, BATCHES)
 
 
