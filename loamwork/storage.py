@@ -6,12 +6,14 @@ unset (tests, a laptop) a temporary folder of this machine stands in.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_folders: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loamwork/{name}-{uuid.uuid4().hex}"
+    """A path of this application's own folder, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/loamwork-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_forget, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    try:
+        delete(spark, folder)
+    except Exception:  # noqa: BLE001 - the session may be gone
+        return
 
 
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
