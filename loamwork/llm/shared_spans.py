@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.storage import Run, settle
+from loamwork.storage import Run, drop, settle
 
 PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
@@ -213,7 +213,9 @@ def _verify(chains: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["a", "start_a", "b", "start_b", "size"])
 
     flat = both.select("a", "start", "b", "start_b", "size", F.col("x.before"), F.col("y.before").alias("yb"), F.col("x.after"), F.col("y.after").alias("ya"))
-    return flat.mapInArrow(check, "a long, start_a int, b long, start_b int, size int")
+    verified = settle(flat.mapInArrow(check, "a long, start_a int, b long, start_b int, size int"), "verified")
+    drop(context)
+    return verified
 
 
 class SpanIndex:
@@ -259,6 +261,12 @@ class SpanIndex:
         pick = lambda a, b: F.when(swapped, F.col(b)).otherwise(F.col(a))
         return out.select(pick("x", "y").alias("a"), pick("p", "q").alias("p"), pick("y", "x").alias("b"), pick("q", "p").alias("q"), F.lit(self.gram).alias("size"))
 
+    def close(self) -> None:
+        """Remove all runs."""
+        for _, r in self.runs:
+            r.drop()
+        self.runs = []
+
     def hot_places(self) -> DataFrame:
         """(cls, pos) of the hashes that are hot since the last batch."""
         out = None
@@ -284,7 +292,10 @@ def shared_spans(texts: DataFrame, batch: str, batches: int, span: int = 300, gr
             v = wide.select("fp", F.col("cls").alias("b"), F.col("pos").alias("q"))
             matches = matches.union(w.join(v, "fp").where("a < b").select("a", "p", "b", "q", F.lit(span).alias("size")))
     chains = settle(_chains(matches, gram), "chains")
-    return settle(_verify(chains, texts, span, gram), "verified").distinct()
+    index.close()
+    verified = _verify(chains, texts, span, gram)
+    drop(chains)
+    return verified.distinct()
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
