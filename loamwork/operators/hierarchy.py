@@ -1,7 +1,8 @@
 """Parent-child links to full hierarchies.
 
 Level-wise frontier joins: the pairs reached at one level are joined with the
-links to give the next level, and what was reached before is taken away. The
+links to give the next levels, and what was reached before is taken away. A
+join goes several levels at once: the ways of up to eight links are made first. The
 loop ends at the first empty frontier, so depth needs no bound and cycles end
 by themselves. A node met again on its own way down lies on a cycle; nodes
 that no root reaches hang on a cycle, and are entered at the least node of the
@@ -32,21 +33,35 @@ def _links(links: DataFrame, parent: Column, child: Column) -> tuple[DataFrame,
     return nodes, edges
 
 
-def _pairs(edges: DataFrame, levels: int = 4) -> DataFrame:
-    """All (anc, node) over one or more links; ``levels`` levels go into one job."""
-    frontier = settle(edges.select(F.col("src").alias("anc"), F.col("dst").alias("node")), "pairs")
+def _hops(edges: DataFrame, levels: int, sep: str = "") -> DataFrame:
+    """(src, dst, level, text) of all ways of up to ``levels`` edges (src, dst, text); the shortest, then the least text.
+
+    Each join doubles the levels. These pairs are part of the closure, so they are never more than the result.
+    """
+    least = lambda df: df.groupBy("src", "dst").agg(F.min(F.struct("level", "text")).alias("x")).select("src", "dst", "x.*")
+    hops, reach = edges.select("src", "dst", F.lit(1).alias("level"), "text"), 1
+    while reach < levels:
+        far = hops.where(F.col("level") == reach).select("src", F.col("dst").alias("mid"), F.col("text").alias("first"))
+        on = hops.select(F.col("src").alias("mid"), "dst", "level", "text")
+        further = far.join(on, "mid").select("src", "dst", (F.col("level") + reach).alias("level"), F.concat("first", F.lit(sep), "text").alias("text"))
+        former, hops, reach = hops, settle(least(hops.union(further)), "hops"), reach * 2
+        drop(former)
+    return hops
+
+
+def _pairs(edges: DataFrame, levels: int = 8) -> DataFrame:
+    """All (anc, node) over one or more links; each frontier join goes ``levels`` levels, a power of two, down."""
+    hops = _hops(edges.withColumn("text", F.lit("")), levels)
+    frontier = hops.select(F.col("src").alias("anc"), F.col("dst").alias("node"), "level")
+    step = hops.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("level").alias("down"))
     reached = Parts(frontier, "pairs")
     while True:
-        step, found = frontier, None
-        for level in range(1, levels + 1):
-            step = step.join(edges, step.node == edges.src).select("anc", F.col("dst").alias("node")).distinct()
-            leveled = step.withColumn("level", F.lit(level))
-            found = leveled if found is None else found.union(leveled)
-        fresh = settle(found.groupBy("anc", "node").agg(F.min("level").alias("level")).join(reached.df(), ["anc", "node"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            return reached.df()
-        reached.add(fresh)
-        frontier = fresh.where(F.col("level") == levels).select("anc", "node")
+        last = frontier.where(F.col("level") == levels).select("anc", "node")
+        found = last.join(step, "node").groupBy("anc", F.col("next").alias("node")).agg(F.min("down").alias("level"))
+        frontier = settle(found.join(reached.df(), ["anc", "node"], "left_anti"), "pairs")
+        if frontier.isEmpty():
+            return reached.df().select("anc", "node")
+        reached.add(frontier)
 
 
 def descendants(links: DataFrame, parent: Column, child: Column) -> DataFrame:
@@ -58,27 +73,22 @@ def descendants(links: DataFrame, parent: Column, child: Column) -> DataFrame:
     return pairs.join(a, "anc").join(d, "node").select("ancestor", "descendant")
 
 
-def _walk(start: DataFrame, edges: DataFrame, names: DataFrame, separator: str, levels: int = 4) -> DataFrame:
-    """Shortest way from the start rows (node, root, depth, path) to each node; the least path of those.
-
-    Levels are joined one after another; ``levels`` of them make one job.
-    """
+def _walk(start: DataFrame, edges: DataFrame, names: DataFrame, separator: str, levels: int = 8) -> DataFrame:
+    """Shortest way from the start rows (node, root, depth, path) to each node; the least path of those."""
+    named = edges.join(names, edges.dst == names.id).select("src", "dst", F.col("name").alias("text"))
+    step = _hops(named, levels, separator).select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("level").alias("down"), "text")
     frontier = settle(start, "reached")
     reached = Parts(frontier, "reached")
-    step_edges = edges.join(names, edges.dst == names.id).select("src", "dst", "name")
-    best = lambda df: df.groupBy("node").agg(F.min(F.struct("depth", "path", "root")).alias("best"))
+    depth = 0
     while True:
-        step, found = frontier, None
-        for _ in range(levels):
-            grown = step.join(step_edges, step.node == step_edges.src).select(F.col("dst").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit(separator), "name").alias("path"))
-            step = best(grown).select("node", "best.root", "best.depth", "best.path")
-            found = step if found is None else found.union(step)
-        unseen = best(found).join(reached.df().select("node"), "node", "left_anti")
-        fresh = settle(unseen.select("node", "best.root", "best.depth", "best.path"), "reached")
-        if fresh.isEmpty():
+        last = frontier.where(F.col("depth") == depth)
+        grown = last.join(step, "node").select(F.col("next").alias("node"), "root", (F.col("depth") + F.col("down")).alias("depth"), F.concat("path", F.lit(separator), "text").alias("path"))
+        best = grown.groupBy("node").agg(F.min(F.struct("depth", "path", "root")).alias("best")).join(reached.df().select("node"), "node", "left_anti")
+        frontier = settle(best.select("node", "best.root", "best.depth", "best.path"), "reached")
+        if frontier.isEmpty():
             return reached.df()
-        reached.add(fresh)
-        frontier = fresh.where(F.col("depth") == fresh.agg(F.max("depth")).first()[0])
+        reached.add(frontier)
+        depth += levels
 
 
 def hierarchy(links: DataFrame, parent: Column, child: Column, separator: str = " -> ") -> DataFrame:
