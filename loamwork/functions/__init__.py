@@ -1 +1 @@
-"""Part of loamwork."""
+"""Scalar functions over names."""

@@ -80,3 +80,13 @@ def like_regex(pattern: Column | str) -> Column:
     c = F.regexp_replace(c, r"_(?![^\[]*\])", ".")
     c = F.regexp_replace(c, r"\[(?![^\[]*\])", r"\\[")
     return F.concat(F.lit("(?s)^"), c, F.lit("$"))
+
+
+def quoted(name: str) -> str:
+    """A name between brackets, as it can stand in a dotted name."""
+    return f"[{name.replace(']', ']]')}]"
+
+
+def written_length(c: Column | str) -> Column:
+    """Length without trailing spaces."""
+    return F.length(F.rtrim(col(c)))

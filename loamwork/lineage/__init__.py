@@ -1 +1 @@
-"""Part of loamwork."""
+"""Lineage from definitions to closures and reports."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.lineage.exclusions import database_excluded
-from loamwork.names import key, name_part
+from loamwork.functions.names import key, name_part
 
 #: Object types that are listed, and the type names that have a definition.
 LISTED = ("U", "V", "P", "SN", "SO", "FN", "IF", "TF")

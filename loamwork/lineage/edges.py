@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.lineage.model import OBJECT, SOURCE, TARGET, packed
-from loamwork.names import key
+from loamwork.functions.names import key
 
 #: Operations whose target feeds the source.
 READING = ("SELECT", "EXECUTE")

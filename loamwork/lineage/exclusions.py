@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.names import key, like_regex
+from loamwork.functions.names import key, like_regex
 
 DATABASES = "exclusionid long, servername string, databasename string, exclusionreason string, isactive int, createddate timestamp_ntz, createdby string"
 OBJECTS = "exclusionid long, servername string, databasename string, schemaname string, objectname string, exclusionreason string, isactive int, createddate timestamp_ntz, createdby string"

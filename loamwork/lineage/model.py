@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loamwork.names import key
+from loamwork.functions.names import key
 
 PARTS = ("server", "database", "schema", "object")
 SOURCE = [f"source{p}" for p in PARTS]

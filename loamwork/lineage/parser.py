@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.lineage.normalize import plain_space
-from loamwork.names import split_name
+from loamwork.functions.names import split_name
 
 #: Words that are no alias, words that end a list of tables, and the statements that change objects.
 NO_ALIAS = frozenset("WHERE ON SET INNER LEFT RIGHT FULL CROSS JOIN GROUP ORDER HAVING".split())

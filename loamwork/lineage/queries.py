@@ -15,7 +15,7 @@ from loamwork.lineage.model import OBJECT, REFERENCED, REFERENCING, SOURCE, TARG
 from loamwork.lineage.normalize import plain_space, remove_comments
 from loamwork.lineage.parser import parsed_dependencies
 from loamwork.lineage.reports import circular, cross_database, impact_levels, impact_summary, object_dependency, object_summary, orphaned, parsed_versus_expression
-from loamwork.names import key
+from loamwork.functions.names import key
 from loamwork.sources.tables import table
 
 SERVER, LEVELS, NOW = "WHALPHA", 8, dt.datetime(2025, 1, 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.lineage.model import DEPENDENT, OBJECT, REFERENCED, REFERENCING, ROOT, SOURCE, TARGET, dotted, packed
-from loamwork.names import key
+from loamwork.functions.names import key
 
 
 def _rooted(extended: DataFrame, name: tuple[str, str, str, str]) -> DataFrame:

@@ -1 +1 @@
-"""Part of loamwork."""
+"""Merges driven by configurations."""

@@ -1 +1 @@
-"""Part of loamwork."""
+"""Operators over tables: dimensions, profiles, data checks."""

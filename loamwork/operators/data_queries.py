@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.names import full_key
+from loamwork.functions.names import full_key
 from loamwork.operators.hierarchy import descendants, hierarchy
 from loamwork.operators.load_profile import CUSTOMER_LOADS
 from loamwork.operators.orphans import object_orphans

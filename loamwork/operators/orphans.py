@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.names import full_key
+from loamwork.functions.names import full_key
 from loamwork.storage import Parts, settle
 
 

@@ -1 +1 @@
-"""Part of loamwork."""
+"""What a merge does, worked out before it runs."""

@@ -1 +1 @@
-"""Part of loamwork."""
+"""Where tables are read from and how they are replaced."""

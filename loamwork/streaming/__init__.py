@@ -1 +1 @@
-"""Part of loamwork."""
+"""Merges over streams."""

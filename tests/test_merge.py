@@ -4,7 +4,8 @@ import pytest
 
 from loamwork.merge.config import MergeConfig, MergeDefaults, ValidationError, configuration_checks, resolve, upsert, validate
 from loamwork.merge.router import execute
-from loamwork.streaming.merge_sink import VersionedTable, merge_stream
+from loamwork.sources.tables import VersionedTable
+from loamwork.streaming.merge_sink import merge_stream
 
 D, OLD, NOW = MergeDefaults(), dt.datetime(2024, 1, 1), dt.datetime(2025, 1, 1)
 DATA = "id int, dob string, name string, pts int"

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loamwork.names import full_key, like_regex, name_part, split_name
+from loamwork.functions.names import full_key, like_regex, name_part, quoted, split_name
 
 
 @pytest.mark.parametrize(("name", "parts"), [("a", ["a"]), ("a.b", ["a", "b"]), ("[a.b].\"c\"", ["a.b", "c"]), ("d..t", ["d", None, "t"]), ("a.b.c.d.e", None), ("[x]]y]", ["x]y"]), ("[x", None), (None, None)])
@@ -11,6 +11,7 @@ def test_split(name, parts):
 
 def test_part():
     assert (name_part("s.d.b.o", 1), name_part("s.d.b.o", 4), name_part("o", 2)) == ("o", "s", None)
+    assert split_name(f"{quoted('a.b]')}.{quoted('c')}") == ["a.b]", "c"]
 
 
 def test_keys_and_patterns(spark):
