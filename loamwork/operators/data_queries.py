@@ -137,7 +137,19 @@ SELECT feedcode, snapshotno, columnname, metric, round(value, 6) AS value, round
 FROM w WHERE former >= 3 AND abs(value - mean) > 3.0 * deviation + 1e-9
 """
 
+_MARKED = {"[": "]", '"': '"', "\'\'": "\'\'", "`": "`"}  # as they stand within an SQL string
+_TOKENS = "|".join(rf"\{a}(?:[^\{b}]|\{b}\{b})*\{b}" if a == "[" else f"{a}(?:[^{b}]|{b}{b})*{b}" for a, b in _MARKED.items()) + r"|[\p{L}\p{M}\p{Nd}_$#@]+"
+_INNER = " ".join(f"WHEN '{a}' THEN replace(h[2:-2], '{b}{b}', '{b}')" for a, b in _MARKED.items())
+_P6 = f"""
+WITH f AS (SELECT dynamicmergeconfigurationid, 'mergeoncolumns' AS fieldname, mergeoncolumns AS t FROM mrg_dynamicmergeconfiguration
+  UNION ALL SELECT dynamicmergeconfigurationid, 'ignorecolumns', ignorecolumns FROM mrg_dynamicmergeconfiguration),
+m AS (SELECT dynamicmergeconfigurationid, fieldname, list_filter(regexp_extract_all(t, '{_TOKENS}'), lambda h: h NOT IN ('[]', '""', '\'\'\'\'', '``')) AS hits FROM f WHERE t IS NOT NULL),
+e AS (SELECT dynamicmergeconfigurationid, fieldname, unnest(hits) AS h, unnest(range(1, len(hits) + 1)) AS p FROM m)
+SELECT dynamicmergeconfigurationid, fieldname, CAST(p AS INTEGER) AS valueposition, CASE h[1] {_INNER} ELSE h END AS columnvalue FROM e
+"""
+
 SQL = {
+    "p6_found": _P6,
     "p1_found": f"WITH RECURSIVE {_EDGES}, c AS (SELECT src AS ancestorname, dst AS descendantname FROM edges UNION SELECT c.ancestorname, e.dst FROM c JOIN edges e ON c.descendantname = e.src) SELECT * FROM c",
     "p3_found": _P3,
     "p4_found": _P4,

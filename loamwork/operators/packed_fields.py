@@ -4,10 +4,11 @@ Dictionary-guided segmentation. A multi-pattern automaton finds whole values
 known from cleanly written fields; together with what the grammar allows at a
 place (a run of name characters, a quoted name, a separator) they make a graph
 over the text's positions, and dynamic programming takes the best cover: least
-name characters and marks left out, then most known values, then fewest
+name characters and marks left out or missing, then most known values, then fewest
 pieces. In a well-written field the grammar alone costs nothing, so the
-dictionary decides only where marks are missing or stray; delimiters inside a
-quoted value are never separators.
+dictionary decides only where a value has one of its marks and lacks the
+other, or marks are stray; delimiters inside a quoted value are never
+separators, and names without any mark are never joined.
 
 Defined results: null, empty and separator-only fields give no rows; repeated
 names stay; empty quotes are no name; equal texts give equal results; time and
@@ -79,11 +80,11 @@ class Segmenter:
         """Names of the best cover, in order."""
         text = text or ""
         n = len(text)
-        pieces: dict[int, list[tuple[int, str, int]]] = {}  # start -> (end, value, known)
+        pieces: dict[int, list[tuple[int, str | None, bool, int]]] = {}  # start -> (end, value, known, missing marks)
 
-        def add(start: int, end: int, value: str) -> None:
-            if value:
-                pieces.setdefault(start, []).append((end, value, value.lower() in self.known))
+        def add(start: int, end: int, value: str, missing: int = 0) -> None:
+            # an empty pair of marks is no name, but it is no stray mark either
+            pieces.setdefault(start, []).append((end, value or None, not value or value.lower() in self.known, missing))
 
         at = 0
         while at < n:  # maximal runs of name characters
@@ -121,11 +122,19 @@ class Segmenter:
         if len(self.automaton) and len(lowered) == n:
             for last, value in self.automaton.iter(lowered):
                 s, e = last - len(value) + 1, last + 1
-                if s > 0 and text[s - 1] in CLOSING and e < n and text[e] == CLOSING[text[s - 1]]:
-                    add(s - 1, e + 1, text[s:e])  # a known value between marks
-                elif any(not _is_name(c) for c in value) and not (s > 0 and _is_name(text[s - 1])) and not (e < n and _is_name(text[e])):
-                    add(s, e, text[s:e])  # a known value with delimiters whose marks are missing
-        # cost: (name characters and marks left out, pieces not known, pieces)
+                opens = s > 0 and text[s - 1] in CLOSING
+                closes = e < n and text[e] in CLOSING.values()
+                if closes and text[e + 1 : e + 2] == text[e]:
+                    continue  # a doubled mark ends nothing
+                if (opens and CLOSING[text[s - 1]] in value) or (closes and text[e] in value):
+                    continue  # between marks it would be written with doubled ones
+                if opens and closes and text[e] == CLOSING[text[s - 1]]:
+                    add(s - 1, e + 1, text[s:e])
+                elif opens and not (e < n and _is_name(text[e])):
+                    add(s - 1, e, text[s:e], 1)
+                elif closes and not (s > 0 and _is_name(text[s - 1])):
+                    add(s, e + 1, text[s:e], 1)
+        # cost: (name characters and marks left out or missing, pieces not known, pieces)
         best: list[tuple[int, int, int] | None] = [None] * (n + 1)
         back: list[tuple[int, str | None]] = [(0, None)] * (n + 1)
         best[0] = (0, 0, 0)
@@ -133,8 +142,8 @@ class Segmenter:
             here = best[i]
             if here is None:
                 continue
-            for end, value, known in pieces.get(i, ()):
-                cost = (here[0], here[1] + (not known), here[2] + 1)
+            for end, value, known, missing in pieces.get(i, ()):
+                cost = (here[0] + missing, here[1] + (not known), here[2] + (value is not None))
                 if best[end] is None or cost < best[end]:
                     best[end], back[end] = cost, (i, value)
             skipped = _is_name(text[i]) or text[i] in "[]\"'`"
