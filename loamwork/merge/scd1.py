@@ -11,11 +11,11 @@ from loamwork.plans.merge_plan import MergePlan, differs, require_unique, same_k
 
 
 def joined(plan: MergePlan, source: DataFrame, target: DataFrame) -> DataFrame:
-    """Both sides with ``action``: update, keep, insert, delete or leave."""
-    both = source_side(plan, source).join(target.withColumn("in_target", F.lit(1)), same_key(plan), "full_outer")
+    """Both sides with ``__action``: update, keep, insert, delete or leave."""
+    both = source_side(plan, source).join(target.withColumn("__in_target", F.lit(1)), same_key(plan), "full_outer")
     missing = "delete" if plan.config.delete_if_not_matched else "leave"
-    action = F.when(F.col("in_target").isNull(), "insert").when(F.col("in_source").isNull(), missing).when(differs(plan), "update").otherwise("keep")
-    return both.withColumn("action", action)
+    action = F.when(F.col("__in_target").isNull(), "insert").when(F.col("__in_source").isNull(), missing).when(differs(plan), "update").otherwise("keep")
+    return both.withColumn("__action", action)
 
 
 def scd1(plan: MergePlan, source: DataFrame, target: DataFrame, now: dt.datetime, check: bool = True) -> DataFrame:
@@ -28,20 +28,20 @@ def scd1(plan: MergePlan, source: DataFrame, target: DataFrame, now: dt.datetime
     if check:
         require_unique(plan, source)
     moment = F.lit(now).cast("timestamp_ntz")
-    rows = joined(plan, source, target).where("action <> 'delete'")
+    rows = joined(plan, source, target).where("__action <> 'delete'")
     types = dict(target.dtypes)
-    set_ = F.col("action").isin("insert", "update")
+    set_ = F.col("__action").isin("insert", "update")
     out = []
     for c in plan.target_columns:
         old = F.col(f"`{c}`")
         if c == plan.kept.get("create"):
-            new = F.when(F.col("action") == "insert", moment).otherwise(old)
+            new = F.when(F.col("__action") == "insert", moment).otherwise(old)
         elif c == plan.kept.get("modified"):
             new = F.when(set_, moment).otherwise(old)
         elif c in plan.keys:
-            new = F.when(F.col("action") == "insert", F.col(f"s_{c}")).otherwise(old)
+            new = F.when(F.col("__action") == "insert", F.col(f"__s_{c}")).otherwise(old)
         elif c in plan.compared:
-            new = F.when(set_, F.col(f"s_{c}")).otherwise(old)
+            new = F.when(set_, F.col(f"__s_{c}")).otherwise(old)
         else:
             new = old
         out.append(new.cast(types[c]).alias(c))
@@ -50,4 +50,4 @@ def scd1(plan: MergePlan, source: DataFrame, target: DataFrame, now: dt.datetime
 
 def action_counts(plan: MergePlan, source: DataFrame, target: DataFrame) -> DataFrame:
     """(action, rows): what a merge would do."""
-    return joined(plan, source, target).groupBy("action").agg(F.count(F.lit(1)).alias("rows"))
+    return joined(plan, source, target).groupBy(F.col("__action").alias("action")).agg(F.count(F.lit(1)).alias("rows"))

@@ -35,10 +35,10 @@ def scd2(plan: MergePlan, source: DataFrame, target: DataFrame, now: dt.datetime
     moment = F.lit(now).cast("timestamp_ntz")
     forever = F.lit(plan.config.row_expiration_value).cast("timestamp_ntz")
     is_open = _open(plan)
-    both = source_side(plan, source).join(target.where(is_open).withColumn("in_target", F.lit(1)), same_key(plan), "full_outer")
-    changed = F.col("in_source").isNotNull() & F.col("in_target").isNotNull() & differs(plan)
-    gone = F.lit(plan.config.delete_if_not_matched) & F.col("in_source").isNull() & (F.coalesce(F.col(kept["is_deleted"]).cast("int"), F.lit(0)) == 0)
-    both = both.withColumns({"changed": changed, "gone": gone})
+    both = source_side(plan, source).join(target.where(is_open).withColumn("__in_target", F.lit(1)), same_key(plan), "full_outer")
+    changed = F.col("__in_source").isNotNull() & F.col("__in_target").isNotNull() & differs(plan)
+    gone = F.lit(plan.config.delete_if_not_matched) & F.col("__in_source").isNull() & (F.coalesce(F.col(kept["is_deleted"]).cast("int"), F.lit(0)) == 0)
+    both = both.withColumns({"__changed": changed, "__gone": gone})
 
     closing = {"is_current": F.lit(0), "row_expiration": moment, "modified": moment}
     old = []
@@ -46,23 +46,23 @@ def scd2(plan: MergePlan, source: DataFrame, target: DataFrame, now: dt.datetime
         role = next((r for r, n in kept.items() if n == c), None)
         new = F.col(f"`{c}`")
         if role in closing:
-            new = F.when(F.col("changed"), closing[role]).otherwise(new)
+            new = F.when(F.col("__changed"), closing[role]).otherwise(new)
         if role == "is_deleted":
-            new = F.when(F.col("gone"), 1).otherwise(new)
+            new = F.when(F.col("__gone"), 1).otherwise(new)
         if role == "modified":
-            new = F.when(F.col("gone"), moment).otherwise(new)
+            new = F.when(F.col("__gone"), moment).otherwise(new)
         old.append(new.cast(types[c]).alias(c))
-    stay = both.where("in_target is not null").select(*old)
+    stay = both.where("__in_target is not null").select(*old)
 
-    fresh = both.where("in_target is null or changed").select(*(f"s_{c}" for c in (*plan.keys, *plan.compared)))
+    fresh = both.where("__in_target is null or __changed").select(*(f"__s_{c}" for c in (*plan.keys, *plan.compared)))
     opening = {"create": moment, "modified": moment, "is_current": F.lit(1), "is_deleted": F.lit(0), "row_effective": moment, "row_expiration": forever}
     if plan.config.scd_type == SCD2_VERSION:
-        last = target.groupBy(*(F.col(f"`{k}`") for k in plan.keys)).agg(F.max(kept["version"]).alias("last_version"))
+        last = target.groupBy(*(F.col(f"`{k}`") for k in plan.keys)).agg(F.max(kept["version"]).alias("__last_version"))
         fresh = fresh.join(last, same_key(plan), "left")
-        opening["version"] = F.coalesce("last_version", F.lit(0)) + 1
+        opening["version"] = F.coalesce("__last_version", F.lit(0)) + 1
     new_row = []
     for c in plan.target_columns:
         role = next((r for r, n in kept.items() if n == c), None)
-        value = opening[role] if role else F.col(f"s_{c}") if c in (*plan.keys, *plan.compared) else F.lit(None)
+        value = opening[role] if role else F.col(f"__s_{c}") if c in (*plan.keys, *plan.compared) else F.lit(None)
         new_row.append(value.cast(types[c]).alias(c))
     return target.where(~is_open).union(stay).union(fresh.select(*new_row))

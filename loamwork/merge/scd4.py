@@ -18,7 +18,7 @@ from loamwork.plans.merge_plan import MergePlan
 def scd4(plan: MergePlan, source: DataFrame, current: DataFrame, history: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Current and history after the merge. Columns the current table lacks are null in the history."""
     new = scd1(plan, source, current, now)
-    replaced = joined(plan, source, current).where(F.col("action").isin("update", "delete"))
+    replaced = joined(plan, source, current).where(F.col("__action").isin("update", "delete"))
     there = {c.lower(): c for c in current.columns}
     image = replaced.select(*((F.col(f"`{there[c.lower()]}`") if c.lower() in there else F.lit(None)).cast(t).alias(c) for c, t in history.dtypes))
     return new, history.unionByName(image)

@@ -48,15 +48,15 @@ def make_plan(config: MergeConfig, source: DataFrame, target: DataFrame, identit
 
 
 def source_side(plan: MergePlan, source: DataFrame) -> DataFrame:
-    """The source's keys and compared columns, as s_<target's spelling>."""
-    return source.select(*(F.col(f"`{plan.source_name[c]}`").alias(f"s_{c}") for c in (*plan.keys, *plan.compared)), F.lit(1).alias("in_source"))
+    """The source's keys and compared columns, as __s_<target's spelling>."""
+    return source.select(*(F.col(f"`{plan.source_name[c]}`").alias(f"__s_{c}") for c in (*plan.keys, *plan.compared)), F.lit(1).alias("__in_source"))
 
 
 def same_key(plan: MergePlan) -> Column:
     """Keys match by plain equality: null matches nothing."""
     out = None
     for k in plan.keys:
-        one = F.col(f"s_{k}") == F.col(f"`{k}`")
+        one = F.col(f"__s_{k}") == F.col(f"`{k}`")
         out = one if out is None else out & one
     return out
 
@@ -65,7 +65,7 @@ def differs(plan: MergePlan) -> Column:
     """Any compared column differs; null is a value."""
     out = F.lit(False)
     for c in plan.compared:
-        out = out | ~F.col(f"s_{c}").eqNullSafe(F.col(f"`{c}`"))
+        out = out | ~F.col(f"__s_{c}").eqNullSafe(F.col(f"`{c}`"))
     return out
 
 

@@ -14,10 +14,10 @@ S, T, H = "d.s.src", "d.s.tgt", "d.s.his"
 
 
 def run(spark, kind, source, target, target_schema, delete=False, history=None, **over):
-    tables = {S: spark.createDataFrame(source, DATA + ", clash string"), T: spark.createDataFrame(target, target_schema)}
+    tables = {S: spark.createDataFrame(source, DATA + ", action string"), T: spark.createDataFrame(target, target_schema)}
     if history is not None:
         tables[H] = spark.createDataFrame(history, target_schema)
-    config = MergeConfig("m", S, T, kind, "ID, dob", ignore="clash", delete_if_not_matched=delete, history=H if history is not None else None, **over)
+    config = MergeConfig("m", S, T, kind, "ID, dob", ignore="ACTION", delete_if_not_matched=delete, history=H if history is not None else None, **over)
     config = validate(config, D, lambda n: tables[n].columns if n in tables else None)
     return execute("M", {"m": config}, tables.__getitem__, NOW).tables
 
