@@ -13,15 +13,16 @@ Matches at one offset are chained, and each chain is verified: the digest of
 its text must be equal, and the characters before and after it are compared
 one by one, which also gives the span's true ends.
 
-Equal texts are one class: their hashes are kept once, and classes are
-expanded only in the result. Hashes that stand in more than ``hot`` places -
+Equal texts are one class: their hashes are kept once, their text is looked up
+once, and classes are expanded only in the result. Hashes that stand in more than ``hot`` places -
 a formula that many texts hold - aren't joined with each other; their places
 are told apart by all windows of ``span`` characters around them, which two
 texts share only if they belong together.
 
 Defined results: null texts and texts shorter than ``span`` share nothing; a
 span within one text doesn't count; texts are read whole, and long ones in
-overlapping pieces; empty tables give no rows. Other columns are ignored.
+overlapping pieces; repeated rows of a document are one; empty tables give no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.storage import Run, drop, settle
@@ -125,20 +126,34 @@ def fingerprints(texts: list[str], span: int, gram: int) -> tuple[np.ndarray, np
 
 
 def _postings(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """(fp, cls, pos) of texts (cls, text)."""
+    """(fp, cls, pos) of texts (cls, text); a class that a task has met is passed over."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
-            classes = b.column(0).to_numpy(zero_copy_only=False)
-            number, place, h = fingerprints(b.column(1).to_pylist(), span, gram)
+            all_classes = b.column(0).to_pylist()
+            first = {c: i for i, c in reversed(list(enumerate(all_classes))) if c not in met}
+            met.update(first)
+            rows = sorted(first.values())
+            classes = np.array([all_classes[i] for i in rows], np.int64)
+            number, place, h = fingerprints([b.column(1)[i].as_py() for i in rows], span, gram)
             if len(h):
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.uint64).view(np.int64)), pa.array(classes[number]), pa.array(place.astype(np.int32))], ["fp", "cls", "pos"])
 
     return docs.select("cls", "text").mapInArrow(make, "fp long, cls long, pos int")
 
 
-def _wide_windows(texts: DataFrame, places: DataFrame, span: int, gram: int) -> DataFrame:
-    """(fp, cls, pos) of all windows of ``span`` characters that hold the window at a place (cls, pos)."""
+def _asked(texts: DataFrame, firsts: DataFrame, places: DataFrame, place: Column) -> DataFrame:
+    """(cls, text, places) of the classes in ``places``: one text each, by its unique number, so no class is hot.
+
+    A class has at most one place for each character of its text.
+    """
+    grouped = places.groupBy("cls").agg(F.collect_set(place).alias("places")).join(firsts, "cls")
+    return texts.select("doc", "cls", "text").join(grouped, ["doc", "cls"]).select("cls", "text", "places")
+
+
+def _wide_windows(asked: DataFrame, span: int, gram: int) -> DataFrame:
+    """(fp, cls, pos) of all windows of ``span`` characters that hold the window at one of the places asked for."""
     slack = span - gram
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +166,7 @@ def _wide_windows(texts: DataFrame, places: DataFrame, span: int, gram: int) ->
                     h = window_hashes(codes, span)[starts - first]
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), cls)), pa.array(starts.astype(np.int32))], ["fp", "cls", "pos"])
 
-    asked = places.groupBy("cls").agg(F.collect_set("pos").alias("places"))  # at most one place for each character of a text
-    return texts.join(asked, "cls").select("cls", "text", "places").mapInArrow(make, "fp long, cls long, pos int")
+    return asked.mapInArrow(make, "fp long, cls long, pos int")
 
 
 def _chains(matches: DataFrame, gram: int) -> DataFrame:
@@ -170,8 +184,8 @@ def _chains(matches: DataFrame, gram: int) -> DataFrame:
     return chained.select("a", "b", "shift", F.col("c.p").alias("start"), (F.col("c.e") - F.col("c.p")).alias("size"))
 
 
-def _context(texts: DataFrame, asked: DataFrame, slack: int) -> DataFrame:
-    """(cls, start, size, before, digest, after): text around and digest of stretches (cls, start, size)."""
+def _context(asked: DataFrame, slack: int) -> DataFrame:
+    """(cls, start, size, before, digest, after): text around and digest of the stretches (start, size) asked for."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,16 +199,16 @@ def _context(texts: DataFrame, asked: DataFrame, slack: int) -> DataFrame:
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["cls", "start", "size", "before", "digest", "after"])
 
-    grouped = asked.groupBy("cls").agg(F.collect_set(F.struct("start", "size")).alias("places"))
-    return texts.join(grouped, "cls").select("cls", "text", "places").mapInArrow(make, "cls long, start int, size int, before string, digest binary, after string")
+    return asked.mapInArrow(make, "cls long, start int, size int, before string, digest binary, after string")
 
 
-def _verify(chains: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFrame:
+def _verify(chains: DataFrame, texts: DataFrame, firsts: DataFrame, span: int, gram: int) -> DataFrame:
     """(a, start_a, b, start_b, size) of the true maximal spans of at least ``span`` characters."""
     slack = span - gram
     left = chains.select(F.col("a").alias("cls"), "start", "size")
     right = chains.select(F.col("b").alias("cls"), (F.col("start") + F.col("shift")).alias("start"), "size")
-    context = settle(_context(texts, left.union(right), slack), "context")  # read twice below
+    asked = _asked(texts, firsts, left.union(right), F.struct("start", "size"))
+    context = settle(_context(asked, slack), "context")  # read twice below
     x = context.select(F.col("cls").alias("a"), "start", "size", F.struct("before", "digest", "after").alias("x"))
     y = context.select(F.col("cls").alias("b"), F.col("start").alias("start_b"), "size", F.struct("before", "digest", "after").alias("y"))
     both = chains.join(x, ["a", "start", "size"]).withColumn("start_b", F.col("start") + F.col("shift")).join(y, ["b", "start_b", "size"]).where("x.digest = y.digest")
@@ -276,10 +290,11 @@ class SpanIndex:
         return out.distinct()
 
 
-def shared_spans(texts: DataFrame, batch: str, batches: int, span: int = 300, gram: int = 150, hot: int = 1000) -> DataFrame:
-    """(a, start_a, b, start_b, size) of all maximal common stretches of two texts (cls, text), a < b.
+def shared_spans(texts: DataFrame, firsts: DataFrame, batch: str, batches: int, span: int = 300, gram: int = 150, hot: int = 1000) -> DataFrame:
+    """(a, start_a, b, start_b, size) of all maximal common stretches of texts of two classes, a < b.
 
-    ``batch`` numbers the batches, 0 up to ``batches`` - 1, in which the texts reach the index.
+    ``texts`` (doc, cls, text), ``firsts`` (cls, doc) with one text of each class; ``batch`` numbers
+    the batches, 0 up to ``batches`` - 1, in which the classes reach the index.
     """
     index = SpanIndex(span, gram, hot=hot)
     matches = None
@@ -287,19 +302,19 @@ def shared_spans(texts: DataFrame, batch: str, batches: int, span: int = 300, gr
         found = settle(index.absorb(texts.where(F.col(batch) == i)), "matches")
         matches = found if matches is None else matches.union(found)
         if index.any_hot:
-            wide = settle(_wide_windows(texts, index.hot_places(), span, gram), "wide")
+            wide = settle(_wide_windows(_asked(texts, firsts, index.hot_places(), F.col("pos")), span, gram), "wide")
             w = wide.select("fp", F.col("cls").alias("a"), F.col("pos").alias("p"))
             v = wide.select("fp", F.col("cls").alias("b"), F.col("pos").alias("q"))
             matches = matches.union(w.join(v, "fp").where("a < b").select("a", "p", "b", "q", F.lit(span).alias("size")))
     chains = settle(_chains(matches, gram), "chains")
     index.close()
-    verified = _verify(chains, texts, span, gram)
+    verified = _verify(chains, texts, firsts, span, gram)
     drop(chains)
     return verified.distinct()
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
-    """Members (cls, doc, n) of the classes of equal texts of at least ``span`` characters, and one text (cls, text) each.
+    """Members (cls, doc, n) of the classes of equal texts of at least ``span`` characters, and the texts (doc, text, cls).
 
     The class is a 64-bit hash; where two different texts should get the same
     one, the hash is taken anew with another seed.
@@ -318,17 +333,14 @@ def classes(docs: DataFrame, doc_id: str, text: str, span: int) -> tuple[DataFra
 def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300, batches: int = 3) -> tuple[DataFrame, DataFrame]:
     """Members (cls, doc, n) of the classes of equal texts, and the spans that classes share."""
     members, marked = classes(docs, doc_id, text, span)
-    reps = members.groupBy("cls").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"))
-    again = reps.where("copies > 1").select("cls", F.col("doc").alias("rep"))
-    # most texts have no copy: only those of classes with copies are compared with their first
-    one = marked.join(again, "cls", "left").where("rep is null or doc = rep").select("cls", "text").withColumn("batch", F.pmod("cls", F.lit(batches)))
-    return members, shared_spans(one, "batch", batches, span)
+    firsts = members.groupBy("cls").agg(F.min("doc").alias("doc"))
+    return members, shared_spans(marked.withColumn("batch", F.pmod("cls", F.lit(batches))), firsts, "batch", batches, span)
 
 
 def sharing_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:
     """(doc_id_a, doc_id_b) of all documents with ``span`` or more consecutive characters in common."""
     members, spans = found_spans(docs, doc_id, text, span)
-    m = members.select("cls", "doc")
+    m = members.select("cls", "doc").distinct()
     pairs = spans.select("a", "b").distinct()
     across = pairs.join(m.select(F.col("cls").alias("a"), F.col("doc").alias("x")), "a").join(m.select(F.col("cls").alias("b"), F.col("doc").alias("y")), "b").select("x", "y")
     within = m.select("cls", F.col("doc").alias("x")).join(m.select("cls", F.col("doc").alias("y")), "cls").where("x < y").select("x", "y")

@@ -54,6 +54,7 @@ def sample(seed):
 def test_pairs_and_shares_against_brute_force(spark):
     texts = sample(1)
     df = docs(spark, texts)
+    assert sorted(tuple(r) for r in sharing_pairs(df.union(df.where("doc_id < 5"))).collect()) == brute(texts, 300)
     assert sorted(tuple(r) for r in sharing_pairs(df).collect()) == brute(texts, 300)
     assert {r.doc_id: r.shared_chars for r in shared_share(df).collect()} == share(texts, 300)
 
@@ -61,8 +62,9 @@ def test_pairs_and_shares_against_brute_force(spark):
 def test_hot_hashes_lose_nothing(spark):
     texts = sample(2)
     members, marked = classes(docs(spark, texts), "doc_id", "text", 300)
-    one = marked.dropDuplicates(["cls"]).selectExpr("cls", "text", "pmod(cls, 3) as batch")
-    plain, hot = ({tuple(r) for r in shared_spans(one, "batch", 3, hot=h).collect()} for h in (1000, 2))
+    firsts = members.groupBy("cls").agg({"doc": "min"}).toDF("cls", "doc")
+    batched = marked.selectExpr("*", "pmod(cls, 3) as batch")
+    plain, hot = ({tuple(r) for r in shared_spans(batched, firsts, "batch", 3, hot=h).collect()} for h in (1000, 2))
     assert plain == hot and plain
 
 
