@@ -148,7 +148,39 @@ e AS (SELECT dynamicmergeconfigurationid, fieldname, unnest(hits) AS h, unnest(r
 SELECT dynamicmergeconfigurationid, fieldname, CAST(p AS INTEGER) AS valueposition, CASE h[1] {_INNER} ELSE h END AS columnvalue FROM e
 """
 
+_WALK = lambda name, start: f"""{name}(node, root, depth, path) USING KEY (node) AS (SELECT n, n, 0, n FROM {start}
+ UNION SELECT e.dst, arg_min(w.root, w.path), min(w.depth) + 1, min(w.path) || ' -> ' || e.dst FROM {name} w JOIN edges e ON w.node = e.src WHERE e.dst NOT IN (SELECT node FROM recurring.{name}) GROUP BY e.dst)"""
+_P1_HIERARCHY = f"""
+WITH RECURSIVE {_EDGES},
+c AS (SELECT src AS a, dst AS d FROM edges UNION SELECT c.a, e.dst FROM c JOIN edges e ON c.d = e.src),
+nodes AS (SELECT src AS n FROM edges UNION SELECT dst FROM edges),
+roots AS (SELECT n FROM nodes WHERE n NOT IN (SELECT dst FROM edges WHERE src <> dst)),
+{_WALK('w1', 'roots')},
+unreached AS (SELECT n FROM nodes WHERE n NOT IN (SELECT node FROM w1)),
+mutual AS (SELECT x.a, x.d FROM c x JOIN c y ON x.a = y.d AND x.d = y.a),
+entries AS (SELECT a AS n FROM mutual WHERE a IN (SELECT n FROM unreached) AND a NOT IN (SELECT c.d FROM c LEFT JOIN mutual m ON c.a = m.a AND c.d = m.d WHERE m.a IS NULL) GROUP BY a HAVING min(d) = a),
+{_WALK('w2', 'entries')},
+w AS (FROM w1 UNION ALL SELECT * FROM w2 WHERE node NOT IN (SELECT node FROM w1))
+SELECT w.node, w.root, w.depth, w.path, coalesce(b.n, 0) AS descendants, coalesce(b.y, 0) AS on_cycle
+FROM w LEFT JOIN (SELECT a, count(*) AS n, max(CASE WHEN a = d THEN 1 ELSE 0 END) AS y FROM c GROUP BY a) b ON b.a = w.node
+"""
+
+_REFERENCED = ["referenced_server_name", "referenced_database_name", "referenced_schema_name", "referenced_entity_name"]
+_REFERENCING = ["referencingserver", "referencingdatabase", "referencingschema", "referencingobject"]
+_HOPS = f"""
+WITH RECURSIVE d AS ({_P3}),
+r AS (SELECT *, coalesce('i' || referenced_id, 'n' || {_name(_REFERENCED)}) AS k, ['i' || referencingobjectid, 'n' || {_name(_REFERENCING)}] AS owners FROM lng_objectexpressiondependency),
+e AS (SELECT DISTINCT k, unnest(owners) AS o FROM r),
+t(k, hop) USING KEY (k) AS (SELECT DISTINCT unnest(owners), 0 FROM r WHERE expressiondependencyid IN (FROM d)
+ UNION SELECT e.o, min(t.hop) + 1 FROM t JOIN e ON e.k = t.k WHERE e.o NOT IN (SELECT k FROM recurring.t) GROUP BY e.o),
+h AS (SELECT expressiondependencyid, referencedobjecttype, capturedate, CASE WHEN expressiondependencyid IN (FROM d) THEN 0 ELSE t.hop + 1 END AS hop FROM r LEFT JOIN t USING (k))
+"""
+_P3_ORPHANS = f"{_HOPS} SELECT *, CASE WHEN hop = 0 THEN 'direct' ELSE 'inherited' END AS orphan_kind FROM h WHERE hop IS NOT NULL"
+
 SQL = {
+    "p1_hierarchy": _P1_HIERARCHY,
+    "p3_orphans": _P3_ORPHANS,
+    "p3_by_period": f"SELECT referencedobjecttype, date_trunc('month', capturedate) AS month, count(*) FILTER (WHERE orphan_kind = 'direct') AS direct, count(*) FILTER (WHERE orphan_kind = 'inherited') AS inherited FROM ({_P3_ORPHANS}) GROUP BY ALL",
     "p6_found": _P6,
     "p1_found": f"WITH RECURSIVE {_EDGES}, c AS (SELECT src AS ancestorname, dst AS descendantname FROM edges UNION SELECT c.ancestorname, e.dst FROM c JOIN edges e ON c.descendantname = e.src) SELECT * FROM c",
     "p3_found": _P3,
