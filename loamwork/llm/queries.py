@@ -71,7 +71,26 @@ fq AS (SELECT *, min(id) OVER (PARTITION BY k) AS first_id, count(*) OVER (PARTI
 f AS (SELECT tablename, first_id, id, copies FROM fp UNION ALL SELECT tablename, first_id, id, copies FROM fq)
 """
 
+# every window of 300 characters, by brute force
+_WINDOWS = """
+t AS (SELECT text, list(DISTINCT doc_id) AS ids FROM documents WHERE length(text) >= 300 GROUP BY text),
+u AS (SELECT row_number() OVER () AS n, text, ids FROM t),
+w AS (SELECT n, i, md5_number(substring(text, i, 300)) AS h FROM (SELECT n, text, unnest(range(1, length(text) - 298)) AS i FROM u)),
+g AS (SELECT h, list(DISTINCT n ORDER BY n) AS ns FROM w GROUP BY h HAVING count(DISTINCT n) > 1)"""
+
 SQL = {
+    "p9_found": f"""WITH {_WINDOWS},
+s AS (SELECT DISTINCT ns FROM g),
+p AS (SELECT DISTINCT a, b FROM (SELECT unnest(ns) AS a, ns FROM s), LATERAL (SELECT unnest(ns) AS b) WHERE a < b),
+x AS (SELECT unnest(ua.ids) AS d, ub.ids AS other FROM p JOIN u ua ON ua.n = p.a JOIN u ub ON ub.n = p.b),
+y AS (SELECT d, unnest(other) AS e FROM x UNION ALL SELECT d, e FROM (SELECT unnest(ids) AS d, ids FROM u WHERE len(ids) > 1), LATERAL (SELECT unnest(ids) AS e) WHERE d < e)
+SELECT DISTINCT least(d, e) AS doc_id_a, greatest(d, e) AS doc_id_b FROM y""",
+    "p9_shared": f"""WITH {_WINDOWS},
+k AS (SELECT n, i, lead(i) OVER (PARTITION BY n ORDER BY i) AS later FROM w WHERE h IN (SELECT h FROM g)),
+c AS (SELECT n, sum(least(300, coalesce(later - i, 300))) AS c FROM k GROUP BY n),
+d AS (SELECT unnest(ids) AS doc_id, CASE WHEN len(ids) > 1 THEN length(text) ELSE coalesce(c.c, 0) END AS c FROM u LEFT JOIN c USING (n))
+SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, CAST(coalesce(d.c, 0) AS BIGINT) AS shared_chars,
+  CASE WHEN length(text) > 0 THEN round(coalesce(d.c, 0) / length(text), 6) ELSE 0.0 END AS shared_share FROM documents LEFT JOIN d USING (doc_id)""",
     "p2_found": f"WITH {_KEYED} SELECT tablename, first_id, id AS copy_id FROM f WHERE id <> first_id",
     "p2_counts": f"WITH {_KEYED} SELECT tablename, first_id, copies FROM f WHERE id = first_id",
 }
