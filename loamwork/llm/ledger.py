@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.storage import Run
+from loamwork.storage import Run, shuffle_partitions
 
 
 def letters(c: Column | str) -> Column:
@@ -50,17 +50,18 @@ def statement_key(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     pattern = r"(?is)^(.*?\bselect\b)(.*?)(\bfrom\b.*)$"
     part = lambda i: F.regexp_extract(c, pattern, i)
-    depth_comma = r",(?![^()]*\))"
-    entries = F.array_sort(F.transform(F.split(part(2), depth_comma), letters))
+    # the look ahead ends at the next parenthesis; without any there is nothing to look for
+    pieces = F.when(F.contains(part(2), F.lit("(")), F.split(part(2), r",(?![^()]*\))")).otherwise(F.split(part(2), ","))
+    entries = F.array_sort(F.transform(pieces, letters))
     listed = joined(letters(part(1)), F.concat_ws(",", entries), letters(part(3)))
     return digest(F.when(F.regexp_like(c, F.lit(pattern)), listed).otherwise(joined(letters(c))))
 
 
 class Ledger:
-    """Counts and earliest record of each canonical key."""
+    """Counts and earliest record of each canonical key; as many buckets as the session has shuffle partitions, unless given."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 24) -> None:
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+        self.spark, self.buckets = spark, buckets or shuffle_partitions(spark)
         self.run: Run | None = None
 
     def absorb(self, batch: DataFrame) -> None:
@@ -92,7 +93,7 @@ class Ledger:
         return of_hot.union(rest)
 
 
-def build_ledger(records: DataFrame, batches: int, buckets: int = 24) -> Ledger:
+def build_ledger(records: DataFrame, batches: int, buckets: int | None = None) -> Ledger:
     """Ledger of records (key, id), taken in ``batches`` batches by id."""
     ledger = Ledger(records.sparkSession, buckets)
     for i in range(batches):

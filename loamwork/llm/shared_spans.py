@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamwork.storage import Run, drop, settle
+from loamwork.storage import Run, drop, settle, shuffle_partitions
 
 PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
@@ -233,10 +233,14 @@ def _verify(chains: DataFrame, texts: DataFrame, firsts: DataFrame, span: int, g
 
 
 class SpanIndex:
-    """Runs of window hashes of all texts absorbed so far."""
+    """Runs of window hashes of all texts absorbed so far.
 
-    def __init__(self, span: int = 300, gram: int = 150, buckets: int = 24, fanout: int = 2, hot: int = 1000) -> None:
-        self.span, self.gram, self.buckets, self.fanout, self.hot = span, gram, buckets, fanout, hot
+    As many buckets as the session has shuffle partitions, unless given.
+    """
+
+    def __init__(self, spark: SparkSession, span: int = 300, gram: int = 150, buckets: int | None = None, fanout: int = 2, hot: int = 1000) -> None:
+        self.span, self.gram, self.fanout, self.hot = span, gram, fanout, hot
+        self.buckets = buckets or shuffle_partitions(spark)
         self.runs: list[tuple[int, Run]] = []
 
     def compact(self) -> None:
@@ -296,7 +300,7 @@ def shared_spans(texts: DataFrame, firsts: DataFrame, batch: str, batches: int,
     ``texts`` (doc, cls, text), ``firsts`` (cls, doc) with one text of each class; ``batch`` numbers
     the batches, 0 up to ``batches`` - 1, in which the classes reach the index.
     """
-    index = SpanIndex(span, gram, hot=hot)
+    index = SpanIndex(texts.sparkSession, span, gram, hot=hot)
     matches = None
     for i in range(batches):
         found = settle(index.absorb(texts.where(F.col(batch) == i)), "matches")

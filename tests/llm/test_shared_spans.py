@@ -80,7 +80,7 @@ def test_texts_in_overlapping_pieces():
 
 def test_runs_are_compacted(spark):
     texts = [(n, text(random.Random(n), 400)) for n in range(24)]
-    index = SpanIndex(buckets=2)
+    index = SpanIndex(spark, buckets=2)
     df = docs(spark, texts).selectExpr("doc_id as cls", "text")
     for n in range(6):
         index.absorb(df.where(f"cls % 6 = {n}")).count()
