@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamwork.storage import settle
+
 CLOSING = {"[": "]", '"': '"', "'": "'", "`": "`"}
 EXTRA = "_$#@"
 
@@ -69,22 +71,29 @@ class Segmenter:
     """Splits fields; ``known`` are whole values from cleanly written fields."""
 
     def __init__(self, known: list[str]) -> None:
-        self.known = {k.lower() for k in known}
         self.automaton = ahocorasick.Automaton()
-        for k in self.known:
-            self.automaton.add_word(k, k)
+        for k in {k.lower() for k in known}:
+            self.automaton.add_word(k, len(k))
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def split(self, text: str | None) -> list[str]:
-        """Names of the best cover, in order."""
+    def hits(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of all known values in a text, without regard to case."""
+        lowered = text.lower()
+        if not len(self.automaton) or len(lowered) != len(text):
+            return []
+        return [(last - size + 1, last + 1) for last, size in self.automaton.iter(lowered)]
+
+    def split(self, text: str | None, hits: list[tuple[int, int]] | None = None) -> list[str]:
+        """Names of the best cover, in order; ``hits`` are the known values if they were found before."""
         text = text or ""
         n = len(text)
+        known = set(self.hits(text) if hits is None else hits)
         pieces: dict[int, list[tuple[int, str | None, bool, int]]] = {}  # start -> (end, value, known, missing marks)
 
-        def add(start: int, end: int, value: str, missing: int = 0) -> None:
+        def add(start: int, end: int, value: str, inner: tuple[int, int], missing: int = 0) -> None:
             # an empty pair of marks is no name, but it is no stray mark either
-            pieces.setdefault(start, []).append((end, value or None, not value or value.lower() in self.known, missing))
+            pieces.setdefault(start, []).append((end, value or None, not value or inner in known, missing))
 
         at = 0
         while at < n:  # maximal runs of name characters
@@ -92,7 +101,7 @@ class Segmenter:
             while end < n and _is_name(text[end]):
                 end += 1
             if end > at:
-                add(at, end, text[at:end])
+                add(at, end, text[at:end], (at, end))
             at = max(end, at + 1)
         # the end of a quoted name: the first closing mark that isn't doubled
         for mark, close in CLOSING.items():
@@ -116,24 +125,21 @@ class Segmenter:
                 for run, last in ends[k:]:
                     first = max(run, s + 1)
                     if (last - first + 1) % 2:
-                        add(s, last + 1, text[s + 1 : last].replace(close * 2, close))
+                        add(s, last + 1, text[s + 1 : last].replace(close * 2, close), (s + 1, last))
                         break
-        lowered = text.lower()
-        if len(self.automaton) and len(lowered) == n:
-            for last, value in self.automaton.iter(lowered):
-                s, e = last - len(value) + 1, last + 1
-                opens = s > 0 and text[s - 1] in CLOSING
-                closes = e < n and text[e] in CLOSING.values()
-                if closes and text[e + 1 : e + 2] == text[e]:
-                    continue  # a doubled mark ends nothing
-                if (opens and CLOSING[text[s - 1]] in value) or (closes and text[e] in value):
-                    continue  # between marks it would be written with doubled ones
-                if opens and closes and text[e] == CLOSING[text[s - 1]]:
-                    add(s - 1, e + 1, text[s:e])
-                elif opens and not (e < n and _is_name(text[e])):
-                    add(s - 1, e, text[s:e], 1)
-                elif closes and not (s > 0 and _is_name(text[s - 1])):
-                    add(s, e + 1, text[s:e], 1)
+        for s, e in known:
+            opens = s > 0 and text[s - 1] in CLOSING
+            closes = e < n and text[e] in CLOSING.values()
+            if closes and text[e + 1 : e + 2] == text[e]:
+                continue  # a doubled mark ends nothing
+            if (opens and CLOSING[text[s - 1]] in text[s:e]) or (closes and text[e] in text[s:e]):
+                continue  # between marks it would be written with doubled ones
+            if opens and closes and text[e] == CLOSING[text[s - 1]]:
+                add(s - 1, e + 1, text[s:e], (s, e))
+            elif opens and not (e < n and _is_name(text[e])):
+                add(s - 1, e, text[s:e], (s, e), 1)
+            elif closes and not (s > 0 and _is_name(text[s - 1])):
+                add(s, e + 1, text[s:e], (s, e), 1)
         # cost: (name characters and marks left out or missing, pieces not known, pieces)
         best: list[tuple[int, int, int] | None] = [None] * (n + 1)
         back: list[tuple[int, str | None]] = [(0, None)] * (n + 1)
@@ -142,8 +148,8 @@ class Segmenter:
             here = best[i]
             if here is None:
                 continue
-            for end, value, known, missing in pieces.get(i, ()):
-                cost = (here[0] + missing, here[1] + (not known), here[2] + (value is not None))
+            for end, value, is_known, missing in sorted(pieces.get(i, ()), key=lambda x: (x[0], x[3], not x[2])):
+                cost = (here[0] + missing, here[1] + (not is_known), here[2] + (value is not None))
                 if best[end] is None or cost < best[end]:
                     best[end], back[end] = cost, (i, value)
             skipped = _is_name(text[i]) or text[i] in "[]\"'`"
@@ -159,37 +165,54 @@ class Segmenter:
         return out[::-1]
 
 
-def dictionary(df: DataFrame, fields: list[str], max_values: int) -> list[str]:
-    """Distinct values with a delimiter inside that cleanly written fields hold.
+def dictionary(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(value) distinct values with a delimiter inside that cleanly written fields hold, in lower case.
 
-    Plain names need no dictionary: the grammar finds them. At most
-    ``max_values`` values are held by the driver and the automaton; if there
-    are more, the most frequent of them are, which bears only on fields with
-    missing or stray marks.
+    Plain names need no dictionary: the grammar finds them.
     """
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [v for t in b["text"] for v in (clean_values(t) or ()) if any(not _is_name(c) for c in v)]
-            yield pd.DataFrame({"value": pd.Series(found, dtype=object)})
+            found = {v.lower() for t in b["text"] for v in (clean_values(t) or ()) if any(not _is_name(c) for c in v)}
+            yield pd.DataFrame({"value": pd.Series(sorted(found), dtype=object)})
 
     texts = df.select(F.explode(F.array(*(F.col(c) for c in fields))).alias("text")).where("text is not null")
-    counted = texts.mapInPandas(values, "value string").groupBy("value").count()
-    return [r[0] for r in counted.orderBy(F.desc("count"), "value").limit(max_values).collect()]
+    return texts.mapInPandas(values, "value string").distinct()
+
 
+def split_fields(df: DataFrame, row_id: str, fields: list[str], block_values: int = 200_000) -> DataFrame:
+    """(row_id, fieldname, valueposition, columnvalue), positions from 1.
 
-def split_fields(df: DataFrame, row_id: str, fields: list[str], max_values: int = 200_000) -> DataFrame:
-    """(row_id, fieldname, valueposition, columnvalue), positions from 1."""
+    The dictionary goes to the executors in blocks of about ``block_values`` values:
+    each block's automaton adds its hits to the rows, and the last step chooses among the hits of all.
+    """
     id_type = dict(df.dtypes)[row_id]
-    shared = df.sparkSession.sparkContext.broadcast(dictionary(df, fields, max_values))
+    known = settle(dictionary(df, fields), "known")
+    blocks = max(1, -(-known.count() // block_values))
+    each = F.array(*(F.struct(F.lit(f).alias("fieldname"), F.col(f).alias("text")) for f in fields))
+    long = df.select(F.col(row_id).alias("id"), F.inline(each)).where("text is not null").withColumn("hits", F.expr("cast(array() as array<int>)"))
+    schema = f"id {id_type}, fieldname string, text string, hits array<int>"
+
+    for i in range(blocks):
+        block = [r[0] for r in known.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == i).collect()]
+        shared = df.sparkSession.sparkContext.broadcast(block)
+
+        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            segmenter = Segmenter(shared.value)
+            for b in batches:
+                b["hits"] = [[*h, *(x for pair in segmenter.hits(t) for x in pair)] for h, t in zip(b["hits"], b["text"], strict=True)]
+                yield b
+
+        long = long.mapInPandas(find, schema)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segmenter = Segmenter(shared.value)
+        segmenter = Segmenter([])
         for b in batches:
-            rows = [(i, f, p, v) for i, f, t in zip(b["id"], b["fieldname"], b["text"], strict=True) for p, v in enumerate(segmenter.split(t), 1)]
+            rows = []
+            for key, field, text, h in zip(b["id"], b["fieldname"], b["text"], b["hits"], strict=True):
+                pairs = list(zip(map(int, h[::2]), map(int, h[1::2]), strict=True))
+                rows += [(key, field, p, v) for p, v in enumerate(segmenter.split(text, pairs), 1)]
             out = pd.DataFrame(rows, columns=[row_id, "fieldname", "valueposition", "columnvalue"])
             yield out.astype({row_id: b["id"].dtype}) if len(out) else out
 
-    each = F.array(*(F.struct(F.lit(f).alias("fieldname"), F.col(f).alias("text")) for f in fields))
-    long = df.select(F.col(row_id).alias("id"), F.inline(each)).where("text is not null")
     return long.mapInPandas(split, f"`{row_id}` {id_type}, fieldname string, valueposition int, columnvalue string")

@@ -62,3 +62,10 @@ def test_rows_with_positions(spark, rows):
     df = spark.createDataFrame([(1, "a,[b c]", None), (2, "", "x;x"), (3, None, None)], "id int, m string, i string").selectExpr("*", "'z' as fieldname", "1 as valueposition")
     assert rows(split_fields(df, "id", ["m", "i"])) == [(1, "m", 1, "a"), (1, "m", 2, "b c"), (2, "i", 1, "x"), (2, "i", 2, "x")]
     assert rows(split_fields(df.limit(0), "id", ["m", "i"])) == []
+
+
+def test_blocks_of_the_dictionary_change_nothing(spark, rows):
+    texts = ["[Client Rate];'Sale Date'", "`Other, One` | x", "[Client Rate; Foo", "x; Other, One`", "['a b'", "\"Sale Date"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, m string")
+    one, many = (rows(split_fields(df, "id", ["m"], n)) for n in (200_000, 1))
+    assert one == many and (2, "m", 1, "Client Rate") in one and (3, "m", 2, "Other, One") in one and (5, "m", 1, "Sale Date") in one
