@@ -18,6 +18,7 @@ from loamwork.lineage.reports import circular, cross_database, impact_levels, im
 from loamwork.functions.names import key
 from loamwork.sources.tables import table
 
+#: LEVELS is the depth of the SQL only; the queries go as deep as extended_dependencies does by default.
 SERVER, LEVELS, NOW = "WHALPHA", 8, dt.datetime(2025, 1, 1)
 #: Sample exclusions: (server, database pattern) and (server, database, schema, object pattern).
 DATABASES = [("WHGAMMA", "Quarry%"), (None, "Tariff0_")]
@@ -44,7 +45,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _extended(spark: SparkSession, d: str, *directions: str) -> DataFrame:
-    return extended_dependencies(_edges(spark, d), _object_exclusions(spark), LEVELS, directions or ("Downstream", "Upstream"))
+    return extended_dependencies(_edges(spark, d), _object_exclusions(spark), directions=directions or ("Downstream", "Upstream"))
 
 
 def _first_root(edges: DataFrame) -> tuple[str, str, str, str]:
@@ -96,7 +97,7 @@ def lineage_up(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lineage_limits(spark: SparkSession, d: str) -> DataFrame:
-    return depth_limits(_extended(spark, d), LEVELS)
+    return depth_limits(_extended(spark, d))
 
 
 def object_dependency_report(spark: SparkSession, d: str) -> DataFrame:
