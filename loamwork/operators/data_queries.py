@@ -55,6 +55,10 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     return CUSTOMER_LOADS.metrics(CUSTOMER_LOADS.value_state(table(spark, d, "mrg_scd1_source"))).select("feedcode", "snapshotno", "columnname", "total", "nulls", "distincts", "mode_n")
 
 
+def p5_load_profile(spark: SparkSession, d: str) -> DataFrame:
+    return CUSTOMER_LOADS.profile(table(spark, d, "mrg_scd1_source"))
+
+
 def p5_control_limits(spark: SparkSession, d: str) -> DataFrame:
     p = CUSTOMER_LOADS
     found = p.control_limits(p.metrics(p.value_state(table(spark, d, "mrg_scd1_source"))))
@@ -65,7 +69,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return split_fields(table(spark, d, "mrg_dynamicmergeconfiguration"), "dynamicmergeconfigurationid", ["mergeoncolumns", "ignorecolumns"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p3_found, p3_orphans, p3_by_period, p4_found, p4_summary, p5_found, p5_profile, p5_control_limits, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p3_found, p3_orphans, p3_by_period, p4_found, p4_summary, p5_found, p5_profile, p5_load_profile, p5_control_limits, p6_found)}
 
 _name = lambda p: "||'.'||".join(f"lower(trim({c}, ' '))" for c in p)
 
@@ -112,6 +116,18 @@ _VIOLATED = {
     **{(c, "maxlength"): f"length(rtrim({c}, ' ')) >= {n}" for c, n in CUSTOMER_LOADS.declared.items()},
 }
 
+_VIOLATIONS = lambda c, f: f"count(*) FILTER (WHERE {_VIOLATED[c, f]})" if (c, f) in _VIOLATED else "CAST(NULL AS BIGINT)"
+_REACHED = lambda c: f"CAST(coalesce(max(length(rtrim({c}, ' '))), 0) >= {CUSTOMER_LOADS.declared[c]} AS INTEGER)" if c in CUSTOMER_LOADS.declared else "CAST(NULL AS INTEGER)"
+_IS_TEXT = lambda c: _TEXT(c).startswith("lower")
+_LOAD_PROFILE = " UNION ALL ".join(
+    f"SELECT g.*, m.v AS mode, coalesce(m.n, 0) AS mode_n FROM (SELECT feedcode, snapshotno, '{c}' AS columnname, count(*) AS total, count(*) - count({c}) AS nulls, count(DISTINCT {_TEXT(c)}) AS distincts,"
+    f" CAST(min({_TEXT(c) if _IS_TEXT(c) else c}) AS VARCHAR) AS minvalue, CAST(max({_TEXT(c) if _IS_TEXT(c) else c}) AS VARCHAR) AS maxvalue,"
+    f" {f"CAST(max(length(rtrim({c}, ' '))) AS INTEGER)" if _IS_TEXT(c) else 'CAST(NULL AS INTEGER)'} AS longest, {_REACHED(c)} AS lengthreached, {_VIOLATIONS(c, 'pattern')} AS patterns, {_VIOLATIONS(c, 'range')} AS outofrange FROM mrg_scd1_source GROUP BY feedcode, snapshotno) g"
+    f" LEFT JOIN (SELECT feedcode, snapshotno, {_TEXT(c)} AS v, count(*) AS n FROM mrg_scd1_source WHERE {c} IS NOT NULL GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY feedcode, snapshotno ORDER BY n DESC, v DESC) = 1) m"
+    " ON m.feedcode IS NOT DISTINCT FROM g.feedcode AND m.snapshotno IS NOT DISTINCT FROM g.snapshotno"
+    for c in _COLS
+)
+
 _P5 = f"""
 WITH {_METRICS},
 viol AS ({' UNION ALL '.join(f"SELECT DISTINCT feedcode, snapshotno, '{c}' AS columnname, '{f}' AS finding FROM mrg_scd1_source WHERE {w}" for (c, f), w in _VIOLATED.items())}),
@@ -188,5 +204,6 @@ SQL = {
     "p4_summary": f"SELECT feedcode, snapshotno, {', '.join(f"count(*) FILTER (WHERE changekind = '{k}') AS {k}" for k in ('added', 'removed', 'changed'))} FROM ({_P4}) GROUP BY ALL",
     "p5_found": _P5,
     "p5_profile": f"WITH {_METRICS} SELECT * FROM m",
+    "p5_load_profile": _LOAD_PROFILE,
     "p5_control_limits": _LIMITS,
 }

@@ -89,6 +89,31 @@ class LoadProfile:
         each = F.array(*(F.struct(F.lit(c.column).alias("columnname"), F.lit(c.finding).alias("finding"), F.col(f"v{i}").alias("n")) for i, c in enumerate(self.all_checks())))
         return constraints.select(self.group, self.number, F.inline(each)).where("n > 0")
 
+    def profile(self, df: DataFrame) -> DataFrame:
+        """The whole profile of each load, a row a column.
+
+        (group, number, columnname, total, nulls, distincts, mode, mode_n, minvalue, maxvalue, longest, lengthreached, patterns, outofrange)
+        Values are in comparable form, as text; of several most common ones ``mode`` is the last in order. ``longest`` is
+        without trailing spaces and null for columns that aren't strings, ``lengthreached`` for those without a declared
+        length, and a count of violations for those without such a check.
+        """
+        types, checks = dict(df.dtypes), list(enumerate(self.all_checks()))
+        aggs = [F.count_if(F.expr(c.violated)).alias(f"v{i}") for i, c in checks]
+        each = []
+        for i, c in enumerate(self.columns):
+            text = types[c] == "string"
+            shown = plain(c, types[c]) if text else F.col(c)
+            aggs += [F.min(shown).cast("string").alias(f"min{i}"), F.max(shown).cast("string").alias(f"max{i}")]
+            aggs += [(F.max(F.length(F.rtrim(F.col(c)))) if text else F.lit(None).cast("int")).alias(f"longest{i}")]
+            counted = {k: [F.col(f"v{j}") for j, x in checks if (x.column, x.finding) == (c, k)] for k in ("pattern", "range")}
+            number = lambda k, of=counted: sum(of[k][1:], of[k][0]) if of[k] else F.lit(None).cast("long")
+            reached = (F.coalesce(F.col(f"longest{i}"), F.lit(0)) >= self.declared[c]).cast("int") if c in self.declared else F.lit(None).cast("int")
+            values = {"rc": F.lit(c), "minvalue": F.col(f"min{i}"), "maxvalue": F.col(f"max{i}"), "longest": F.col(f"longest{i}"), "lengthreached": reached, "patterns": number("pattern"), "outofrange": number("range")}
+            each.append(F.struct(*(v.alias(k) for k, v in values.items())))
+        ranges = df.groupBy(F.col(self.group).alias("rg"), F.col(self.number).alias("rn")).agg(*aggs).select("rg", "rn", F.inline(F.array(*each)))
+        metrics = self.metrics(self.value_state(df)).select(self.group, self.number, "columnname", "total", "nulls", "distincts", "mode", "mode_n")
+        return metrics.join(ranges, F.expr(f"`{self.group}` <=> rg and `{self.number}` <=> rn and columnname = rc")).drop("rg", "rn", "rc")
+
     def drift(self, metrics: DataFrame, share: str = "0.107", part: str = "0.5") -> DataFrame:
         """(group, number, columnname, finding): nulls, mode or distinct against the previous load.
 

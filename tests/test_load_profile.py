@@ -53,6 +53,18 @@ def test_states_of_slices_add_up(spark, rows):
     assert rows(P.merge(a, b).select(*whole.columns)) == rows(whole)
 
 
+def test_whole_profile_has_ranges_lengths_violations_and_the_mode(spark):
+    data = [row(1, age=9, loyaltypoints=-5, country="A1"), row(2, age=10, loyaltypoints=100, firstname="  " + "b" * 98 + " "), row(3, age=10, loyaltypoints=20, country=None, email=None), row(4, 2, age=None)]
+    found = {(r.snapshotno, r.columnname): tuple(r)[3:] for r in P.profile(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert len(found) == 16
+    assert found[1, "age"] == (3, 0, 2, "10", 2, "9", "10", None, None, None, 0)
+    assert found[1, "loyaltypoints"] == (3, 0, 3, "20", 1, "-5", "100", None, None, None, 1)
+    assert found[1, "firstname"] == (3, 0, 3, "nd", 1, "b" * 98, "nd", 100, 1, 0, None)
+    assert found[1, "country"] == (3, 1, 2, "norland", 1, "a1", "norland", 7, 0, 1, None)
+    assert found[2, "age"] == (1, 1, 0, None, 0, None, None, None, None, None, 0)
+    assert found[1, "dateofbirth"] == (3, 0, 1, "1980-01-01", 3, "1980-01-01", "1980-01-01", None, None, None, 0)
+
+
 def test_control_limits_and_empty_table(spark):
     loads = [row(100 * s + n, s, age=40 + (n % 2), country=None if s == 6 else "Norland") for s in range(1, 7) for n in range(4)]
     metrics = P.metrics(P.value_state(spark.createDataFrame(loads, SCHEMA)))
