@@ -68,10 +68,12 @@ def date_dim_business_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orders_by_fiscal_quarter(spark: SparkSession, d: str) -> DataFrame:
-    dates = _dates(spark).select("Date", "FiscalYear", "FiscalQuarter")
     # orders are reduced to one row a day before the join
     days = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("Date")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
-    return days.join(dates, "Date").groupBy("FiscalYear", "FiscalQuarter").agg(F.sum("n").alias("orders"), F.sum("total").cast("double").alias("total_price"))
+    # the dimension spans the orders, and orders without a date stay
+    span = days.agg(F.min("Date"), F.max("Date")).first()
+    dates = date_dimension(spark, TODAY, min(span[0] or FIRST, FIRST), max(span[1] or LAST, LAST), inclusive_only=True, sentinels=False)
+    return days.join(dates.select("Date", "FiscalYear", "FiscalQuarter"), "Date", "left").groupBy("FiscalYear", "FiscalQuarter").agg(F.sum("n").alias("orders"), F.sum("total").cast("double").alias("total_price"))
 
 
 def time_dim(spark: SparkSession, d: str) -> DataFrame:

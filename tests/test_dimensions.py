@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loamwork.operators.column_profile import column_profile
 from loamwork.operators.date_dimension import date_dimension
+from loamwork.operators.dimension_queries import orders_by_fiscal_quarter
 from loamwork.operators.text_chunks import text_chunks
 from loamwork.operators.time_dimension import time_dimension, time_key
 
@@ -37,6 +38,12 @@ def test_default_range_and_one_day(spark):
     assert date_dimension(spark, TODAY, TODAY, TODAY, inclusive_only=True, sentinels=False).count() == 1
 
 
+def test_orders_of_any_date_or_none_are_counted(spark, rows, tmp_path):
+    days = [dt.datetime(1985, 1, 1, 8), dt.datetime(1700, 6, 30), dt.datetime(2150, 7, 1), dt.datetime(9999, 12, 31), dt.datetime(2000, 1, 1), dt.datetime(2000, 2, 1), None]
+    spark.createDataFrame([(n, day, 1.5) for n, day in enumerate(days)], "o_orderkey long, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(orders_by_fiscal_quarter(spark, str(tmp_path))) == sorted([(1985, 3, 1, 1.5), (1700, 4, 1, 1.5), (2151, 1, 1, 1.5), (10000, 2, 1, 1.5), (2000, 3, 2, 3.0), (None, None, 1, 1.5)], key=repr)
+
+
 def test_time_dimension(spark):
     times = {r.DimTime_SK: r for r in time_dimension(spark).where("DimTime_SK in (-1, 1, 47108)").collect()}
     t = times[47108]
