@@ -36,6 +36,11 @@ def _is_name(c: str) -> bool:
     return c in EXTRA or c.isalpha() or unicodedata.category(c) in ("Nd", "Mn", "Mc")
 
 
+def _lowered(text: str) -> str:
+    """Lower case, place by place; a letter whose lower form has another length stays as it is."""
+    return "".join(low if len(low := c.lower()) == 1 else c for c in text)
+
+
 _QUOTED = "|".join(rf"{re.escape(a)}(?:[^{re.escape(b)}]|{re.escape(b)}{re.escape(b)})+{re.escape(b)}(?!{re.escape(b)})" for a, b in CLOSING.items())
 _BARE = r"[^\W_]|[_$#@]"
 _TOKEN = re.compile(rf"({_QUOTED})|((?:{_BARE}|[^\x00-\x7f])+)|(.)", re.S)
@@ -72,17 +77,16 @@ class Segmenter:
 
     def __init__(self, known: list[str]) -> None:
         self.automaton = ahocorasick.Automaton()
-        for k in {k.lower() for k in known}:
+        for k in {_lowered(k) for k in known}:
             self.automaton.add_word(k, len(k))
         if len(self.automaton):
             self.automaton.make_automaton()
 
     def hits(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of all known values in a text, without regard to case."""
-        lowered = text.lower()
-        if not len(self.automaton) or len(lowered) != len(text):
+        if not len(self.automaton):
             return []
-        return [(last - size + 1, last + 1) for last, size in self.automaton.iter(lowered)]
+        return [(last - size + 1, last + 1) for last, size in self.automaton.iter(_lowered(text))]
 
     def split(self, text: str | None, hits: list[tuple[int, int]] | None = None) -> list[str]:
         """Names of the best cover, in order; ``hits`` are the known values if they were found before."""
@@ -173,7 +177,7 @@ def dictionary(df: DataFrame, fields: list[str]) -> DataFrame:
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = {v.lower() for t in b["text"] for v in (clean_values(t) or ()) if any(not _is_name(c) for c in v)}
+            found = {_lowered(v) for t in b["text"] for v in (clean_values(t) or ()) if any(not _is_name(c) for c in v)}
             yield pd.DataFrame({"value": pd.Series(sorted(found), dtype=object)})
 
     texts = df.select(F.explode(F.array(*(F.col(c) for c in fields))).alias("text")).where("text is not null")

@@ -39,6 +39,13 @@ def test_known_values_decide_where_marks_are_missing():
     assert s.split("Vendor's, 'Order'") == ["Vendor", "s", "Order"]
 
 
+def test_known_values_count_beside_letters_whose_lower_form_is_longer(spark, rows):
+    assert Segmenter(["Client Rate"]).split("[client rate; İd") == ["client rate", "İd"]
+    assert Segmenter(["İş Kodu"]).split("x; İŞ kodu]") == ["x", "İŞ kodu"]
+    df = spark.createDataFrame([(1, "[İş Kodu]"), (2, "[İş Kodu; y")], "id int, m string")
+    assert rows(split_fields(df, "id", ["m"])) == [(1, "m", 1, "İş Kodu"), (2, "m", 1, "İş Kodu"), (2, "m", 2, "y")]
+
+
 def test_round_trip_of_random_names():
     rng = random.Random(1)
     plain, odd = "abZ09_$#@é", "ab ,;|[]\"'`./\n"
