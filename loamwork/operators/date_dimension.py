@@ -133,23 +133,23 @@ def date_dimension(
     types = holiday_types(holidays)
     flags = holidays.groupBy(F.col("DimDate_SK").alias("sk")).agg(*(F.max((F.col("PublicHolidayType") == t).cast("int")).alias(holiday_column(t)) for t in types))
     out = out.join(flags, out.DimDate_SK == flags.sk, "left").drop("sk").withColumns({holiday_column(t): F.coalesce(holiday_column(t), F.lit(0)) for t in types})
-    for t in (t for t, counted in types.items() if counted):
-        out = business_days(out, today, holiday_column(t))
-    return out
+    return business_days(out, today, [holiday_column(t) for t, counted in types.items() if counted])
 
 
-def business_days(dates: DataFrame, today: dt.date, holiday: str) -> DataFrame:
-    """Add ``RelativeBusinessDays_<holiday>``: weekdays that are no holidays between each row and today.
+def business_days(dates: DataFrame, today: dt.date, holidays: list[str]) -> DataFrame:
+    """Add ``RelativeBusinessDays_<holiday>`` for each column: weekdays that are no holidays between each row and today.
 
-    One running sum over the dimension, whose size is the calendar's, not the data's.
+    One window pass holds the running sums of all columns and the sums up to today. The
+    dimension's size is the calendar's, not the data's, so one task sorts it.
     """
-    counts = _flag((F.col("IsWeekend") == 0) & (F.col(holiday) == 0))
-    upto = dates.withColumn("__upto", F.sum(counts).over(Window.orderBy("Date")).cast("int"))
-    bounds = dates.agg(
-        F.coalesce(F.sum(F.when(F.col("Date") <= F.lit(today), counts)), F.lit(0)).cast("int").alias("__to_today"),
-        F.coalesce(F.sum(F.when(F.col("Date") < F.lit(today), counts)), F.lit(0)).cast("int").alias("__before_today"),
-    )
+    w = Window.orderBy("Date")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     now = F.lit(today)
-    value = F.when(F.col("Date") < now, F.col("__upto") - F.col("__before_today")).when(F.col("Date") > now, F.col("__upto") - F.col("__to_today")).otherwise(0)
-    # bounds is one row
-    return upto.join(F.broadcast(bounds)).withColumn(f"RelativeBusinessDays_{holiday}", value).drop("__upto", "__to_today", "__before_today")
+    added = {}
+    for h in holidays:
+        counts = _flag((F.col("IsWeekend") == 0) & (F.col(h) == 0))
+        upto = lambda bound, n=counts: F.coalesce(F.sum(F.when(bound, n)).over(whole), F.lit(0))
+        running = F.sum(counts).over(w)
+        value = F.when(F.col("Date") < now, running - upto(F.col("Date") < now)).when(F.col("Date") > now, running - upto(F.col("Date") <= now)).otherwise(0)
+        added[f"RelativeBusinessDays_{h}"] = value.cast("int")
+    return dates.withColumns(added) if added else dates
