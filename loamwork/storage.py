@@ -1,12 +1,14 @@
 """Tables in the folder that all executors share, to cut lineage and to keep state.
 
 The folder is the one named by ``spark.checkpoint.dir``. Only where that is
-unset (tests, a laptop) a temporary folder of this machine stands in.
+unset and all of Spark runs on this machine (tests, a laptop) a temporary
+folder stands in; on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="loamwork-")
