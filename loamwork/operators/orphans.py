@@ -13,6 +13,8 @@ empty tables give no rows (or, without records, every reference).
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def direct_orphans(references: DataFrame, key: Column, at: Column, records: Data
     return left.join(r, hit, "left_anti").drop("__key", "__at")
 
 
-def cascade(references: DataFrame, orphaned: DataFrame, key: Column, owner_keys: list[Column], row_id: str, max_rounds: int = 1_000_000) -> DataFrame:
+def cascade(references: DataFrame, orphaned: DataFrame, key: Column, owner_keys: list[Column], row_id: str) -> DataFrame:
     """(row_id, hop): 0 for the rows of ``orphaned``, n for rows that refer to the owner of a row of hop n - 1.
 
     Works on distinct (referred key, owner keys), so a hot owner costs one row a round.
@@ -50,7 +52,7 @@ def cascade(references: DataFrame, orphaned: DataFrame, key: Column, owner_keys:
     edges = settle(references.select(key.alias("key"), owners.alias("owners")).where("key is not null").distinct(), "fk")
     frontier = settle(orphaned.select(F.explode(owners).alias("key")).where("key is not null").distinct().withColumn("hop", F.lit(0)), "tainted")
     tainted = Parts(frontier, "tainted")
-    for hop in range(1, max_rounds):
+    for hop in itertools.count(1):  # ends at the first empty round: each round taints keys not met before
         hit = edges.join(frontier.select("key"), "key", "left_semi").select(F.explode("owners").alias("key")).where("key is not null").distinct()
         fresh = settle(hit.join(tainted.df().select("key"), "key", "left_anti").withColumn("hop", F.lit(hop)), "tainted")
         if fresh.isEmpty():
