@@ -25,14 +25,6 @@ def full_key(*parts: Column | str) -> Column:
     return F.concat(*dotted[1:])
 
 
-def full_name(*parts: Column | str) -> Column:
-    """Dotted name as written; null parts are empty."""
-    dotted: list[Column] = []
-    for p in parts:
-        dotted += [F.lit("."), F.coalesce(col(p), F.lit(""))]
-    return F.concat(*dotted[1:])
-
-
 _PART = re.compile(r"\[((?:[^\]]|\]\])*)\]|\"((?:[^\"]|\"\")*)\"|([^.\[\]\"]*)")
 
 
@@ -85,8 +77,3 @@ def like_regex(pattern: Column | str) -> Column:
 def quoted(name: str) -> str:
     """A name between brackets, as it can stand in a dotted name."""
     return f"[{name.replace(']', ']]')}]"
-
-
-def written_length(c: Column | str) -> Column:
-    """Length without trailing spaces."""
-    return F.length(F.rtrim(col(c)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.lineage.exclusions import database_excluded
-from loamwork.functions.names import key, name_part
+from loamwork.functions.names import key
 
 #: Object types that are listed, and the type names that have a definition.
 LISTED = ("U", "V", "P", "SN", "SO", "FN", "IF", "TF")
@@ -50,25 +50,42 @@ def expression_dependencies(catalog_edges: DataFrame, database_exclusions: DataF
     return database_excluded(whole, "referenced_server_name", "referenced_database_name", database_exclusions)
 
 
-def spark_inventory(spark: SparkSession, server: str, database: str) -> DataFrame:
-    """Inventory of the tables and views of a Spark database; names are few and come from the catalog."""
-    kinds = {"VIEW": ("V", "VIEW"), "TEMPORARY": ("V", "VIEW")}
-    rows = [(server, database, "default", t.name, *kinds.get(t.tableType, ("U", "USER_TABLE"))) for t in spark.catalog.listTables(database)]
-    schema = "servername string, databasename string, schemaname string, objectname string, objecttype string, objecttypename string"
-    return spark.createDataFrame(rows, schema).withColumn("objectid", F.xxhash64("databasename", "objectname"))
+INVENTORY = "servername string, databasename string, schemaname string, objectname string, objecttype string, objecttypename string, objectid long"
 
 
-def spark_view_texts(spark: SparkSession, inventory: DataFrame) -> DataFrame:
-    """(objectid, objectdefinition) of the views among an inventory of Spark objects."""
-    rows = []
-    for r in inventory.where("objecttype = 'V'").select("objectid", "databasename", "objectname").collect():
+def spark_inventory(spark: SparkSession, server: str, databases: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Inventory of the tables, views and functions of Spark databases, and the message of each database that can't be read.
+
+    A failing database is skipped, the others are listed. Names come from the catalog's lists, which the driver holds.
+    """
+    rows: list[tuple] = []
+    failed: dict[str, str] = {}
+    for d in databases:
         try:
-            rows.append((r[0], spark.sql(f"SHOW CREATE TABLE `{r[1]}`.`{r[2]}`").first()[0]))
-        except Exception:  # noqa: BLE001 - a view that can't be shown is skipped, as one without a definition
+            views = {t.name for t in spark.catalog.listTables(d) if t.tableType == "VIEW" and not t.isTemporary}
+            tables = {t.name for t in spark.catalog.listTables(d) if not t.isTemporary} - views
+            functions = {r[0].rsplit(".", 1)[-1] for r in spark.sql(f"SHOW USER FUNCTIONS IN {quoted_identifier(d)}").collect()}
+        except Exception as e:  # noqa: BLE001 - whatever a catalog raises concerns this database alone
+            failed[d] = str(e).splitlines()[0]
             continue
-    return spark.createDataFrame(rows, "objectid long, objectdefinition string")
+        for names, kind, kind_name in ((tables, "U", "USER_TABLE"), (views, "V", "VIEW"), (functions, "FN", "SQL_SCALAR_FUNCTION")):
+            rows += [(server, d, "default", n, kind, kind_name) for n in sorted(names)]
+    names = spark.createDataFrame(rows, INVENTORY.rsplit(",", 1)[0])
+    return names.withColumn("objectid", F.xxhash64("databasename", "objectname", "objecttype")), failed
+
 
+def quoted_identifier(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
 
-def named(c: Column, part: int) -> Column:
-    """Part of a dotted name, counted from the right; for columns of short names."""
-    return F.udf(lambda n: name_part(n, part), "string")(c)
+
+def spark_view_texts(spark: SparkSession, inventory: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(objectid, objectdefinition) of the views among an inventory of Spark objects, and the message of each that can't be shown."""
+    rows: list[tuple] = []
+    failed: dict[str, str] = {}
+    for r in inventory.where("objecttype = 'V'").select("objectid", "databasename", "objectname").collect():
+        name = f"{quoted_identifier(r[1])}.{quoted_identifier(r[2])}"
+        try:
+            rows.append((r[0], spark.sql(f"SHOW CREATE TABLE {name}").first()[0]))
+        except Exception as e:  # noqa: BLE001
+            failed[name] = str(e).splitlines()[0]
+    return spark.createDataFrame(rows, "objectid long, objectdefinition string"), failed
