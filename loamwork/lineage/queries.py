@@ -11,15 +11,16 @@ from loamwork.lineage import exclusions as x
 from loamwork.lineage.catalog import DEFINED, LISTED, expression_dependencies, object_definitions, object_list
 from loamwork.lineage.closure import depth_limits, extended_dependencies
 from loamwork.lineage.edges import cleanse, direct_dependencies
-from loamwork.lineage.model import OBJECT, REFERENCED, REFERENCING, SOURCE, TARGET
+from loamwork.lineage.model import OBJECT, REFERENCED, REFERENCING, ROOT, SOURCE, TARGET
 from loamwork.lineage.normalize import plain_space, remove_comments
 from loamwork.lineage.parser import parsed_dependencies
 from loamwork.lineage.reports import circular, cross_database, impact_levels, impact_summary, object_dependency, object_summary, orphaned, parsed_versus_expression
 from loamwork.functions.names import key
 from loamwork.sources.tables import table
+from loamwork.storage import settle
 
-#: LEVELS is the depth of the SQL only; the queries go as deep as extended_dependencies does by default.
-SERVER, LEVELS, NOW = "WHALPHA", 8, dt.datetime(2025, 1, 1)
+#: LEVELS is the reference's default depth, in the queries and in their SQL.
+SERVER, LEVELS, NOW = "WHALPHA", 30, dt.datetime(2025, 1, 1)
 #: Sample exclusions: (server, database pattern) and (server, database, schema, object pattern).
 DATABASES = [("WHGAMMA", "Quarry%"), (None, "Tariff0_")]
 OBJECTS = [(None, None, None, "%[_]old"), ("WHBETA", None, "audit", "usp%")]
@@ -45,12 +46,14 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _extended(spark: SparkSession, d: str, *directions: str) -> DataFrame:
-    return extended_dependencies(_edges(spark, d), _object_exclusions(spark), directions=directions or ("Downstream", "Upstream"))
+    return extended_dependencies(settle(_edges(spark, d), "edges"), _object_exclusions(spark), LEVELS, directions or ("Downstream", "Upstream"))
 
 
-def _first_root(edges: DataFrame) -> tuple[str, str, str, str]:
-    """The least source name; the object the sample reports are about."""
-    return tuple(edges.agg(F.min(F.struct(*SOURCE))).first()[0])
+def _deepest_root(extended: DataFrame) -> tuple[str | None, ...]:
+    """The object the sample reports are about: the least name of those with the deepest path downstream."""
+    down = extended.where("lineagedirection = 'Downstream'").select("lineagelevel", *ROOT)
+    deepest = down.groupBy("lineagelevel").agg(F.min(F.struct(*ROOT)).alias("root")).orderBy(F.desc("lineagelevel")).first()
+    return tuple(deepest["root"]) if deepest else ("", "", "", "")
 
 
 def lineage_objects(spark: SparkSession, d: str) -> DataFrame:
@@ -97,19 +100,22 @@ def lineage_up(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lineage_limits(spark: SparkSession, d: str) -> DataFrame:
-    return depth_limits(_extended(spark, d))
+    return depth_limits(_extended(spark, d), LEVELS)
 
 
 def object_dependency_report(spark: SparkSession, d: str) -> DataFrame:
-    return object_dependency(_extended(spark, d), _first_root(_edges(spark, d)))
+    extended = settle(_extended(spark, d), "extended")
+    return object_dependency(extended, _deepest_root(extended))
 
 
 def impact_by_level(spark: SparkSession, d: str) -> DataFrame:
-    return impact_levels(_extended(spark, d, "Downstream"), _first_root(_edges(spark, d)))
+    extended = settle(_extended(spark, d, "Downstream"), "extended")
+    return impact_levels(extended, _deepest_root(extended))
 
 
 def impact_total(spark: SparkSession, d: str) -> DataFrame:
-    return impact_summary(_extended(spark, d, "Downstream"), _first_root(_edges(spark, d)))
+    extended = settle(_extended(spark, d, "Downstream"), "extended")
+    return impact_summary(extended, _deepest_root(extended))
 
 
 def cross_database_report(spark: SparkSession, d: str) -> DataFrame:
@@ -192,9 +198,9 @@ def _closure_sql(down: bool) -> str:
 
 
 _DOWN, _UP = _closure_sql(True), _closure_sql(False)
-_FIRST = f"f AS (SELECT min(row({_LIST(SOURCE)})) AS n FROM edges)"
-_ROOTED = "row(rootserver, rootdatabase, rootschema, rootobject) = (SELECT n FROM f)"
 _ROOTS = "rootserver, rootdatabase, rootschema, rootobject"
+_FIRST = f"f AS (SELECT min(row({_ROOTS})) AS n FROM downstream WHERE lineagelevel = (SELECT max(lineagelevel) FROM downstream))"
+_ROOTED = f"row({_ROOTS}) = (SELECT n FROM f)"
 _OTHER = f"{_NAME(SOURCE)} <> {_NAME(TARGET)} AND NOT starts_with({_K('sourceobject')}, 'ck') AND {_NAME(TARGET)} IN (SELECT n FROM known)"
 
 SQL = {
