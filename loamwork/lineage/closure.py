@@ -1,8 +1,10 @@
 """Extended dependencies: every path from an object down to what it feeds, or up to what feeds it.
 
 Level-wise joins of paths with edges; one row a path, so the levels of a dense
-graph grow fast and ``max_levels`` bounds them. Each level is written to the
-shared folder, so a lost executor costs one level at most.
+graph grow fast and ``max_levels`` bounds them. The edges are bucketed by where
+they begin, so a level moves its paths once; distinct edges extend distinct paths to distinct
+paths, and only edges that differ in their objects' types alone make a level look for repeats.
+Each level is written to the shared folder, so a lost executor costs one level at most.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loamwork.lineage.exclusions import object_excluded
 from loamwork.lineage.model import DEPENDENT, ROOT, SOURCE, TARGET, dotted, packed
-from loamwork.storage import settle
+from loamwork.storage import Run, settle, shuffle_partitions
 
 OUT = [*ROOT, "rootobjecttype", *DEPENDENT, "dependentobjecttype", "lineagepath", "lineagelevel", "lineagedirection"]
 
@@ -36,23 +38,28 @@ def _direction(edges: DataFrame, exclusions: DataFrame | None, max_levels: int,
         "hops",
     )
     paths = hops.select("near", "far", F.col("far_key").alias("last"), F.array("near_key", "far_key").alias("on_path"), F.concat("near_name", F.lit(arrow), "far_name").alias("lineagepath"), F.lit(1).alias("lineagelevel"))
-    level = settle(paths.distinct(), "level")
+    ends = hops.select("near_key", "far_key", "far_name", "far").distinct()
+    repeats = not ends.groupBy("near_key", "far_key", "far_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    once = (lambda df: df.distinct()) if repeats else (lambda df: df)
+    level = settle(once(paths), "level")
     levels = [level]
-    step = hops.select(F.col("near_key").alias("from"), F.col("far_key").alias("to"), F.col("far").alias("next"), F.col("far_name"))
+    edges_from = Run(ends.select(F.col("near_key").alias("from"), F.col("far_key").alias("to"), F.col("far").alias("next"), F.col("far_name")), "from", shuffle_partitions(edges.sparkSession), "hops")
+    step = edges_from.df()
     for n in range(2, max_levels + 1):
         fresh = F.instr(F.lower("lineagepath"), F.lower("far_name")) == 0 if compat else ~F.array_contains("on_path", F.col("to"))
         grown = level.join(step, F.col("last") == F.col("from")).where(fresh)
         level = settle(
-            grown.select("near", F.col("next").alias("far"), F.col("to").alias("last"), F.concat("on_path", F.array("to")).alias("on_path"), F.concat("lineagepath", F.lit(arrow), "far_name").alias("lineagepath"), F.lit(n).alias("lineagelevel")).distinct(),
+            once(grown.select("near", F.col("next").alias("far"), F.col("to").alias("last"), F.concat("on_path", F.array("to")).alias("on_path"), F.concat("lineagepath", F.lit(arrow), "far_name").alias("lineagepath"), F.lit(n).alias("lineagelevel"))),
             "level",
         )
         if level.isEmpty():
             break
         levels.append(level)
+    edges_from.drop()
     out = levels[0]
     for p in levels[1:]:
         out = out.union(p)
-    return out.select("near.*", "far.*", "lineagepath", "lineagelevel", F.lit("Downstream" if downstream else "Upstream").alias("lineagedirection")).select(*OUT).distinct()
+    return once(out.select("near.*", "far.*", "lineagepath", "lineagelevel", F.lit("Downstream" if downstream else "Upstream").alias("lineagedirection")).select(*OUT))
 
 
 def extended_dependencies(edges: DataFrame, exclusions: DataFrame | None = None, max_levels: int = 30, directions: tuple[str, ...] = ("Downstream", "Upstream"), compat: bool = False) -> DataFrame:
