@@ -27,6 +27,8 @@ HOLIDAYS = [
     (20000704, "East Side", "Fair", 0, 0),
 ]
 HOLIDAY_SCHEMA = "DimDate_SK int, PublicHolidayType string, PublicHolidayName string, PublicHolidaySubstitute int, CountBusinessDays int"
+#: Sample of declared lengths, some of which the data reach.
+LENGTHS = {"o_orderstatus": 1, "o_orderpriority": 30, "c_mktsegment": 10, "p_brand": 40, "r_name": 11, "n_name": 25, "referenced_schema_name": 6, "referencedobjecttype": 60}
 CALENDAR = ["DimDate_SK", "Date", "CalendarYear", "Month", "Day", *TEXTS, "CalendarQuarter", "CalendarHalf", *DATES[:5], "UnixStartOfDay", "UnixEndOfDay"]
 FISCAL = ["DimDate_SK", "FiscalYear", "FiscalHalf", "FiscalQuarter", "FiscalYearStart", "FiscalHalfStart"]
 
@@ -88,9 +90,9 @@ def events_by_quarter_hour(spark: SparkSession, d: str) -> DataFrame:
 
 def _profile(name: str):  # noqa: ANN202
     def query(spark: SparkSession, d: str) -> DataFrame:
-        p = column_profile(table(spark, d, name), table=name)
+        p = column_profile(table(spark, d, name), "sales", "dbo", name, LENGTHS)
         rounded = [c for c in p.columns if c.endswith("Percentage")]
-        return p.withColumns({c: F.round(c, 6) for c in rounded} | {"AverageLength": F.col("AverageLength").cast("double")}).drop("DatabaseName", "SchemaName", "Precision", "Scale", "Length", "MaxLengthReached")
+        return p.withColumns({c: F.round(c, 6) for c in rounded} | {"AverageLength": F.col("AverageLength").cast("double")})
 
     query.__name__ = f"profile_{name}"
     return query
@@ -184,9 +186,11 @@ def _profile_sql(name: str) -> str:
         shown = {"timestamp": "strftime({0}, '%Y-%m-%d %H:%M:%S')", "string": "rtrim({0}, ' ')"}.get(t, "CAST({0} AS VARCHAR)")
         size = f"length(rtrim({c}, ' '))"
         lengths = f"min({size})::INTEGER AS MinimumLength, round(avg({size}), 2)::DOUBLE AS AverageLength, max({size})::INTEGER AS MaxLength" if t == "string" else "NULL::INTEGER AS MinimumLength, NULL::DOUBLE AS AverageLength, NULL::INTEGER AS MaxLength"
+        declared = LENGTHS.get(c, "NULL")
+        reached = f"(coalesce(MaxLength, 0) >= {declared})" if c in LENGTHS else "NULL"
         order = "v" if t == "string" or t == "timestamp" else "CAST(v AS DOUBLE)"
         selects.append(f"""
-SELECT {n}::INTEGER AS ColumnNumber, '{name}' AS TableName, '{c}' AS ColumnName, '{t if t != "timestamp" else "timestamp_ntz"}' AS Type, a.*, m.MostCommonValue, g.top AS MostCommonValueAppears, round(g.top * 100.0 / TotalRows, 6)::DOUBLE AS MostCommonValuePercentage,
+SELECT {n}::INTEGER AS ColumnNumber, 'sales' AS DatabaseName, 'dbo' AS SchemaName, {declared}::INTEGER AS Length, NULL::INTEGER AS "Precision", NULL::INTEGER AS Scale, {reached}::INTEGER AS MaxLengthReached, '{name}' AS TableName, '{c}' AS ColumnName, '{t if t != "timestamp" else "timestamp_ntz"}' AS Type, a.*, m.MostCommonValue, g.top AS MostCommonValueAppears, round(g.top * 100.0 / TotalRows, 6)::DOUBLE AS MostCommonValuePercentage,
   g.DistinctValues, g.UniqueValues, round(g.UniqueValues * 100.0 / TotalRows, 6)::DOUBLE AS UniquenessPercentage, g.NullValues, round(g.NullValues * 100.0 / TotalRows, 6)::DOUBLE AS NullPercentage
 FROM (SELECT count(*) AS TotalRows, {shown.format(f'min({c})')} AS MinValue, {shown.format(f'max({c})')} AS MaxValue, {lengths} FROM {name}) a,
  (SELECT max(k) AS top, count(v) AS DistinctValues, count(*) FILTER (WHERE k = 1) AS UniqueValues, coalesce(max(k) FILTER (WHERE v IS NULL), 0)::BIGINT AS NullValues FROM (SELECT {shown.format(c)} AS v, count(*) AS k FROM {name} GROUP BY 1)) g,
