@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The kinds of merges, and the columns of the target that each kind keeps.
@@ -50,6 +50,12 @@ class MergeDefaults:
     utc_offset: int | None = 0
 
 
+def defaults_table(spark: SparkSession, defaults: MergeDefaults) -> DataFrame:
+    """The defaults as their table of one row."""
+    names = [f.name for f in fields(MergeDefaults)]
+    return spark.createDataFrame([tuple(getattr(defaults, n) for n in names)], ", ".join(f"{n} {'int' if n == 'utc_offset' else 'string'}" for n in names))
+
+
 @dataclass(frozen=True)
 class MergeConfig:
     """One configuration; ``None`` stands for the default."""
