@@ -1,11 +1,14 @@
 """Duplicates hidden by formatting differences, counted in an incremental ledger.
 
-The ledger holds one row for each canonical key: how many records had it, and
-the earliest of them. It lies in the shared folder, hash-bucketed and sorted on
-the key. A batch is first aggregated by key, which a group of copies of any
-size leaves as one row a task, and then full-outer-joined bucket by bucket with
-the ledger; counts add up, and the least id stays. Only the ledger's name
-changes, when the new version is complete.
+The ledger says for each canonical key how many records had it, and which is
+the earliest of them. It consists of runs, hash-bucketed and sorted on the key.
+A batch is first aggregated by key, which a group of copies of any size leaves
+as one row a task, and becomes a run. Runs of like size are full-outer-joined
+bucket by bucket, without moving them: counts add up, and the least id stays;
+reading the ledger joins the few runs there are in the same way. A batch so
+writes its own keys, and a key is rewritten a logarithmic number of times. The
+manifest that names the runs is published when they are complete, and a ledger
+with a path outlives the application.
 
 Defined results: a null text has no key and is no duplicate; other null parts
 equal each other and nothing else; ties can't occur as the least id is taken;
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.storage import Run, shuffle_partitions
+from loamwork.storage import RunStore, settle, shuffle_partitions
 
 
 def letters(c: Column | str) -> Column:
@@ -45,38 +48,43 @@ def ordered_key(ordered: list[Column], either: list[Column]) -> Column:
 def statement_key(c: Column | str) -> Column:
     """Key of a select statement: what stands before the list, the list's entries in any order, and what follows from ``from`` on.
 
-    A comma within parentheses separates no entries. A text without such a list is compared as a whole.
+    Every comma separates entries, those within parentheses too. A text without such a list is compared as a whole.
     """
     c = F.col(c) if isinstance(c, str) else c
-    pattern = r"(?is)^(.*?\bselect\b)(.*?)(\bfrom\b.*)$"
-    part = lambda i: F.regexp_extract(c, pattern, i)
-    # the look ahead ends at the next parenthesis; without any there is nothing to look for
-    pieces = F.when(F.contains(part(2), F.lit("(")), F.split(part(2), r",(?![^()]*\))")).otherwise(F.split(part(2), ","))
-    entries = F.array_sort(F.transform(pieces, letters))
-    listed = joined(letters(part(1)), F.concat_ws(",", entries), letters(part(3)))
-    return digest(F.when(F.regexp_like(c, F.lit(pattern)), listed).otherwise(joined(letters(c))))
+    # one match of the text gives all three parts
+    cut = F.regexp_replace(F.translate(c, "\x00", " "), r"(?is)^(.*?\bselect\b)(.*?)(\bfrom\b.*)$", "$1\x00$2\x00$3")
+
+    def form(p: Column) -> Column:
+        entries = F.array_sort(F.transform(F.split(p[1], ","), letters))
+        return F.when(F.size(p) == 3, joined(letters(p[0]), F.concat_ws(",", entries), letters(p[2]))).otherwise(joined(letters(c)))
+
+    return digest(F.transform(F.array(F.split(cut, "\x00")), form)[0])
 
 
 class Ledger:
-    """Counts and earliest record of each canonical key; as many buckets as the session has shuffle partitions, unless given."""
-
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
-        self.spark, self.buckets = spark, buckets or shuffle_partitions(spark)
-        self.run: Run | None = None
-
-    def absorb(self, batch: DataFrame) -> None:
-        """Add a batch of (key, id)."""
-        new = batch.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-        if self.run is not None:
-            old = self.run.df().select("key", F.col("first_id").alias("f"), F.col("copies").alias("c"))
-            new = old.join(new, "key", "full_outer").select("key", F.least("first_id", "f").alias("first_id"), (F.coalesce("copies", F.lit(0)) + F.coalesce("c", F.lit(0))).alias("copies"))
-        old_run, self.run = self.run, Run(new, "key", self.buckets, "ledger")
-        if old_run is not None:
-            old_run.drop()
+    """Counts and earliest record of each canonical key; as many buckets as the session has shuffle partitions, unless given.
+
+    With ``path`` the ledger is kept there, and opened again by a later session.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, path: str | None = None, fanout: int = 2) -> None:
+        self.fanout = fanout
+        self.store = RunStore(spark, path, {"buckets": buckets or shuffle_partitions(spark)}, "ledger")
+        self.buckets = self.store.settings["buckets"]
+
+    def absorb(self, batch: DataFrame, batch_id: str | None = None) -> int:
+        """Add a batch of (key, id); gives the bytes written. A batch of an id absorbed before adds nothing."""
+        if batch_id is not None and batch_id in self.store.batches:
+            return 0
+        before = self.store.written
+        self.store.add("keys", batch.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "key", self.buckets)
+        self.store.compact("keys", self.fanout, _sum, placed=True)
+        self.store.publish(batch_id)
+        return self.store.written - before
 
     def df(self) -> DataFrame:
         """(key, first_id, copies)"""
-        return self.run.df()
+        return _sum([r.df() for r in self.store.of("keys")])
 
     def copies(self, records: DataFrame) -> DataFrame:
         """(first_id, copy_id) of records (key, id) that aren't the first of their key.
@@ -84,7 +92,7 @@ class Ledger:
         Keys without copies are left out. At most a thousand keys can hold more than a thousandth of
         the records each; those are broadcast, so a hot key's records stay where they are.
         """
-        dup = self.df().where("copies > 1").select("key", "first_id", "copies")
+        dup = settle(self.df().where("copies > 1").select("key", "first_id", "copies"), "copies")
         total = self.df().agg(F.sum("copies")).first()[0] or 0
         hot = dup.where(F.col("copies") * 1000 > total).select("key", F.col("first_id").alias("hot_id"))
         marked = records.join(F.broadcast(hot), "key", "left")
@@ -93,6 +101,15 @@ class Ledger:
         return of_hot.union(rest)
 
 
+def _sum(runs: list[DataFrame]) -> DataFrame:
+    """Runs full-outer-joined bucket by bucket: counts add up, and the least id stays."""
+    out = runs[0]
+    for r in runs[1:]:
+        other = r.select("key", F.col("first_id").alias("f"), F.col("copies").alias("c"))
+        out = out.join(other, "key", "full_outer").select("key", F.least("first_id", "f").alias("first_id"), (F.coalesce("copies", F.lit(0)) + F.coalesce("c", F.lit(0))).alias("copies"))
+    return out
+
+
 def build_ledger(records: DataFrame, batches: int, buckets: int | None = None) -> Ledger:
     """Ledger of records (key, id), taken in ``batches`` batches by id."""
     ledger = Ledger(records.sparkSession, buckets)
