@@ -13,7 +13,11 @@ Matches at one offset are chained, and each chain is verified: the digest of
 its text must be equal, and the characters before and after it are compared
 one by one, which also gives the span's true ends.
 
-Equal texts are one class: their hashes are kept once, their text is looked up
+The texts are read once and kept beside the index, bucketed by the task that read
+them, so that no text is ever shuffled: where texts are needed again, the places
+asked for are sent to them. An index with a path outlives the application.
+
+Equal texts are one class: their hashes and their text are kept once, their text is looked up
 once, and classes are expanded only in the result. Hashes that stand in more than ``hot`` places -
 a formula that many texts hold - aren't joined with each other; their places
 are told apart by all windows of ``span`` characters around them, which two
@@ -27,6 +31,7 @@ rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 from collections.abc import Iterator
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamwork.storage import Run, drop, settle, shuffle_partitions
+from loamwork.storage import Run, RunStore, drop, settle, shuffle_partitions
 
 PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
@@ -125,31 +130,71 @@ def fingerprints(texts: list[str], span: int, gram: int) -> tuple[np.ndarray, np
     return join(numbers), join(places), join(kept)
 
 
-def _postings(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """(fp, cls, pos) of texts (cls, text); a class that a task has met is passed over."""
+def _slots(spark: SparkSession, buckets: int) -> list[int]:
+    """A number of each bucket, in order: rows marked with it go to that bucket when the table is bucketed by the mark."""
+    rows = spark.range(buckets * 40 + 1000).select(F.col("id").cast("int").alias("v")).groupBy(F.pmod(F.hash("v"), F.lit(buckets)).alias("b")).agg(F.min("v").alias("v")).orderBy("b").collect()
+    if len(rows) < buckets:
+        raise ValueError(f"{buckets} buckets are too many")
+    return [r.v for r in rows]
+
+
+def _stored(docs: DataFrame, seed: int, span: int, gram: int, slots: list[int]) -> DataFrame:
+    """(slot, cls, doc, n, digest, text, prints) of texts (doc, text) of at least ``span`` characters.
+
+    ``slot`` is the bucket of the task that read the row, so that the texts are bucketed where
+    they are. ``text`` and its window hashes are given once for a class and task, else null.
+    """
+    long = docs.where(F.length("text") >= span)
+    slot = F.element_at(F.array(*map(F.lit, slots)), F.pmod(F.spark_partition_id(), F.lit(len(slots))) + 1)
+    marked = long.select(slot.alias("slot"), F.xxhash64(F.lit(seed), "text").alias("cls"), "doc", F.length("text").alias("n"), F.unhex(F.md5("text")).alias("digest"), "text")
+    kind = marked.schema["doc"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
-            all_classes = b.column(0).to_pylist()
-            first = {c: i for i, c in reversed(list(enumerate(all_classes))) if c not in met}
+            classes = b.column(1).to_pylist()
+            first = {c: i for i, c in reversed(list(enumerate(classes))) if c not in met}
             met.update(first)
             rows = sorted(first.values())
-            classes = np.array([all_classes[i] for i in rows], np.int64)
-            number, place, h = fingerprints([b.column(1)[i].as_py() for i in rows], span, gram)
-            if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.uint64).view(np.int64)), pa.array(classes[number]), pa.array(place.astype(np.int32))], ["fp", "cls", "pos"])
+            kept = np.zeros(len(classes), bool)
+            kept[rows] = True
+            texts = [t if k else None for t, k in zip(b.column(5).to_pylist(), kept, strict=True)]
+            number, place, h = fingerprints([texts[i] for i in rows], span, gram)
+            at = np.searchsorted(number, np.arange(len(rows) + 1))  # text numbers come in order
+            prints: list[bytes | None] = [None] * len(texts)
+            for k, i in enumerate(rows):
+                s, e = at[k], at[k + 1]
+                prints[i] = h[s:e].astype("<u8").tobytes() + place[s:e].astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(texts, pa.string()), pa.array(prints, pa.binary())], ["slot", "cls", "doc", "n", "digest", "text", "prints"])
 
-    return docs.select("cls", "text").mapInArrow(make, "fp long, cls long, pos int")
+    return marked.mapInArrow(make, f"slot int, cls long, doc {kind}, n int, digest binary, text string, prints binary")
 
 
-def _asked(texts: DataFrame, firsts: DataFrame, places: DataFrame, place: Column) -> DataFrame:
-    """(cls, text, places) of the classes in ``places``: one text each, by its unique number, so no class is hot.
+def _postings(prints: DataFrame) -> DataFrame:
+    """(fp, cls, pos) of (cls, prints)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = b.column(1).to_pylist()
+            sizes = np.array([len(p) // 12 for p in packed], np.int64)
+            if sizes.sum():
+                h = np.concatenate([np.frombuffer(p, "<u8", n) for p, n in zip(packed, sizes, strict=True)])
+                place = np.concatenate([np.frombuffer(p, "<i4", n, 8 * n) for p, n in zip(packed, sizes, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(np.array(b.column(0).to_pylist(), np.int64), sizes)), pa.array(place.astype(np.int32))], ["fp", "cls", "pos"])
+
+    return prints.select("cls", "prints").mapInArrow(make, "fp long, cls long, pos int")
 
-    A class has at most one place for each character of its text.
-    """
-    grouped = places.groupBy("cls").agg(F.collect_set(place).alias("places")).join(firsts, "cls")
-    return texts.select("doc", "cls", "text").join(grouped, ["doc", "cls"]).select("cls", "text", "places")
+
+@contextlib.contextmanager
+def _where_the_texts_are(spark: SparkSession) -> Iterator[None]:
+    """Joins with the texts move the other side alone, to the texts' buckets, though they compare more columns than the texts are bucketed by."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    former = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, former)
 
 
 def _wide_windows(asked: DataFrame, span: int, gram: int) -> DataFrame:
@@ -202,13 +247,14 @@ def _context(asked: DataFrame, slack: int) -> DataFrame:
     return asked.mapInArrow(make, "cls long, start int, size int, before string, digest binary, after string")
 
 
-def _verify(chains: DataFrame, texts: DataFrame, firsts: DataFrame, span: int, gram: int) -> DataFrame:
+def _verify(chains: DataFrame, index: SpanIndex) -> DataFrame:
     """(a, start_a, b, start_b, size) of the true maximal spans of at least ``span`` characters."""
-    slack = span - gram
+    span, slack = index.span, index.span - index.gram
     left = chains.select(F.col("a").alias("cls"), "start", "size")
     right = chains.select(F.col("b").alias("cls"), (F.col("start") + F.col("shift")).alias("start"), "size")
-    asked = _asked(texts, firsts, left.union(right), F.struct("start", "size"))
-    context = settle(_context(asked, slack), "context")  # read twice below
+    asked = index.asked(left.union(right), F.struct("start", "size"))
+    with _where_the_texts_are(chains.sparkSession):
+        context = settle(_context(asked, slack), "context")  # read twice below
     x = context.select(F.col("cls").alias("a"), "start", "size", F.struct("before", "digest", "after").alias("x"))
     y = context.select(F.col("cls").alias("b"), F.col("start").alias("start_b"), "size", F.struct("before", "digest", "after").alias("y"))
     both = chains.join(x, ["a", "start", "size"]).withColumn("start_b", F.col("start") + F.col("shift")).join(y, ["b", "start_b", "size"]).where("x.digest = y.digest")
@@ -232,44 +278,80 @@ def _verify(chains: DataFrame, texts: DataFrame, firsts: DataFrame, span: int, g
     return verified
 
 
+class ClassClash(ValueError):
+    """Two different texts have the same class number; the index has to be built with another seed."""
+
+
 class SpanIndex:
-    """Runs of window hashes of all texts absorbed so far.
+    """Runs of window hashes of all texts absorbed so far, and the texts themselves.
 
-    As many buckets as the session has shuffle partitions, unless given.
+    With ``path`` the index is kept there, and opened again by a later session; its parameters
+    are then those it was made with. As many buckets as the session has shuffle partitions, unless given.
+    Kinds of runs: ``texts`` where they were read, one a batch; ``classes`` (cls, digest, doc, slot, batch), the place of
+    each class's text; ``hashes`` (fp, cls, pos, batch); ``hot`` (fp) and ``wide`` (fp, cls, pos), the windows of hot hashes' places.
     """
 
-    def __init__(self, spark: SparkSession, span: int = 300, gram: int = 150, buckets: int | None = None, fanout: int = 2, hot: int = 1000) -> None:
-        self.span, self.gram, self.fanout, self.hot = span, gram, fanout, hot
-        self.buckets = buckets or shuffle_partitions(spark)
-        self.runs: list[tuple[int, Run]] = []
-
-    def compact(self) -> None:
-        """Merge runs of one tier into one of the next, as long as a tier is full."""
-        for tier in sorted({t for t, _ in self.runs}):
-            while len(full := [r for t, r in self.runs if t == tier]) >= self.fanout:
-                merged = full[0].df()
-                for r in full[1:]:
-                    merged = merged.union(r.df())
-                run = Run(merged, "fp", self.buckets, "spans")
-                self.runs = [(t, r) for t, r in self.runs if t != tier] + [(tier + 1, run)]
-                for r in full:
-                    r.drop()
-
-    def absorb(self, docs: DataFrame) -> DataFrame:
-        """Add texts (cls, text) and return (a, p, b, q, size): matched windows of a new text and a new or former one, a < b."""
-        self.compact()
-        placed = _postings(docs, self.span, self.gram).repartition(self.buckets, "fp").dropDuplicates(["fp", "cls", "pos"])
-        new = Run(placed, "fp", self.buckets, "spans", placed=True)
-        former = [r for _, r in self.runs]
-        self.runs.append((0, new))
-        n = new.df()
+    def __init__(self, spark: SparkSession, span: int = 300, gram: int = 150, buckets: int | None = None, fanout: int = 2, hot: int = 1000, seed: int = 0, path: str | None = None) -> None:
+        self.spark, self.fanout, self.hot = spark, fanout, hot
+        self.store = RunStore(spark, path, {"span": span, "gram": gram, "buckets": buckets or shuffle_partitions(spark), "seed": seed}, "spans")
+        self.span, self.gram, self.buckets, self.seed = (self.store.settings[k] for k in ("span", "gram", "buckets", "seed"))
+        self.slots = _slots(spark, self.buckets)
+
+    @property
+    def number(self) -> int:
+        """Number of the batch that is being absorbed."""
+        return len(self.store.of("texts"))
+
+    def compact(self, *kinds: str) -> None:
+        for kind in kinds:
+            self.store.compact(kind, self.fanout, _union, placed=False)
+
+    def asked(self, places: DataFrame, place: Column) -> DataFrame:
+        """(cls, text, places) of the classes in ``places``: one text each, read where it lies.
+
+        A class has at most one place for each character of its text. The places move, the texts don't.
+        """
+        grouped = places.groupBy("cls").agg(F.collect_set(place).alias("places"))
+        located = None
+        for r in self.store.of("classes"):
+            one = r.df().select("cls", "doc", "slot", "batch").join(grouped, "cls")
+            located = one if located is None else located.union(one)
+        out = None
+        for n, r in enumerate(self.store.of("texts")):
+            texts = r.df().where("text is not null").select("slot", "cls", "doc", "text")
+            here = located.where(F.col("batch") == n).select("slot", "cls", "doc", "places")
+            # rows repeated within a bucket have the same text
+            one = texts.join(here, ["slot", "cls", "doc"]).select("cls", "text", "places")
+            out = one if out is None else out.union(one)
+        return out
+
+    def _new_classes(self, texts: Run, batch: int) -> Run:
+        """Run of the classes that the index didn't have, with the place of their text."""
+        t = texts.df()
+        one = t.groupBy("cls").agg(F.min("digest").alias("digest"), F.max("digest").alias("other"), F.min(F.when(F.col("prints").isNotNull(), F.struct("doc", "slot"))).alias("at")).withColumn("known", F.lit(None).cast("binary"))
+        for r in self.store.of("classes"):
+            one = one.join(r.df().select("cls", F.col("digest").alias("k")), "cls", "left").withColumn("known", F.coalesce("known", "k")).drop("k")
+        one = settle(one, "classes")
+        if not one.where("digest <> other or known <> digest").isEmpty():
+            raise ClassClash("two texts have the same class number; build the index with another seed")
+        return self.store.add("classes", one.where("known is null").select("cls", "digest", "at.doc", "at.slot", F.lit(batch).alias("batch")), "cls", self.buckets)
+
+    def _absorb_hashes(self, prints: DataFrame, batch: int) -> DataFrame:
+        """Add the hashes of (cls, prints) as a run; (a, p, b, q, size): matched windows of a new text and a new or former one, a < b."""
+        self.compact("hashes")
+        placed = _postings(prints).repartition(self.buckets, "fp").dropDuplicates(["fp", "cls", "pos"]).withColumn("batch", F.lit(batch))
+        former = self.store.of("hashes")
+        n = self.store.add("hashes", placed, "fp", self.buckets, placed=True).df()
         counts = n.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
         for r in former:
             # a hash of a former run counts only where the new run has it too
             counts = counts.join(r.df().groupBy("fp").agg(F.count(F.lit(1)).alias("m")), "fp", "left").select("fp", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-        self.hot_keys = settle(counts.where(F.col("n") > self.hot).select("fp"), "hot")
-        self.any_hot = not self.hot_keys.isEmpty()
-        cool = (lambda df: df.join(self.hot_keys, "fp", "left_anti")) if self.any_hot else (lambda df: df)
+        hot = settle(counts.where(F.col("n") > self.hot).select("fp"), "hot")
+        if hot.isEmpty():
+            cool = lambda df: df
+        else:
+            self.touched.append(hot)
+            cool = lambda df: df.join(hot, "fp", "left_anti")
         left = cool(n).select("fp", F.col("cls").alias("x"), F.col("pos").alias("p"))
         other = lambda df: df.select("fp", F.col("cls").alias("y"), F.col("pos").alias("q"))
         out = left.join(other(n), "fp").where("x < y")
@@ -279,66 +361,94 @@ class SpanIndex:
         pick = lambda a, b: F.when(swapped, F.col(b)).otherwise(F.col(a))
         return out.select(pick("x", "y").alias("a"), pick("p", "q").alias("p"), pick("y", "x").alias("b"), pick("q", "p").alias("q"), F.lit(self.gram).alias("size"))
 
-    def close(self) -> None:
-        """Remove all runs."""
-        for _, r in self.runs:
-            r.drop()
-        self.runs = []
-
-    def hot_places(self) -> DataFrame:
-        """(cls, pos) of the hashes that are hot since the last batch."""
+    def _hot_matches(self, batch: int) -> DataFrame | None:
+        """Matches among the places of hot hashes, by all windows of ``span`` characters around them.
+
+        A hash that was hot before adds its new places alone; one that has become hot adds all.
+        """
+        if not self.touched:
+            return None
+        touched = _union([t for t in self.touched]).distinct()
+        before = [r.df() for r in self.store.of("hot")]
+        known = _union(before) if before else touched.where(F.lit(False))
+        fresh = self.store.add("hot", touched.join(known, "fp", "left_anti"), "fp", self.buckets).df()
+        old = touched.join(known, "fp", "left_semi")
+        places = None
+        for r in self.store.of("hashes"):
+            h = r.df()
+            one = h.join(fresh, "fp", "left_semi").select("cls", "pos").union(h.where(F.col("batch") == batch).join(old, "fp", "left_semi").select("cls", "pos"))
+            places = one if places is None else places.union(one)
+        asked = self.asked(places.distinct(), F.col("pos"))
+        former = [r.df() for r in self.store.of("wide")]
+        with _where_the_texts_are(self.spark):
+            new = self.store.add("wide", _wide_windows(asked, self.span, self.gram), "fp", self.buckets).df()
+        w = new.select("fp", F.col("cls").alias("x"), F.col("pos").alias("p"))
         out = None
-        for _, r in self.runs:
-            one = r.df().join(self.hot_keys, "fp", "left_semi").select("cls", "pos")
+        for side in (new, *former):
+            v = side.select("fp", F.col("cls").alias("y"), F.col("pos").alias("q"))
+            one = w.join(v, "fp").where("x < y" if side is new else "x <> y")
             out = one if out is None else out.union(one)
-        return out.distinct()
+        swapped = F.col("x") > F.col("y")
+        pick = lambda a, b: F.when(swapped, F.col(b)).otherwise(F.col(a))
+        return out.select(pick("x", "y").alias("a"), pick("p", "q").alias("p"), pick("y", "x").alias("b"), pick("q", "p").alias("q"), F.lit(self.span).alias("size"))
+
+    def absorb(self, docs: DataFrame, batches: int = 1, batch_id: str | None = None) -> DataFrame | None:
+        """Add texts (doc, text) and give (a, start_a, b, start_b, size): the maximal stretches that a new class of
+        equal texts has in common with another class, a < b.
+
+        The texts are read once; their hashes are merge-joined with the index and added in ``batches`` batches. Stretches of two
+        former classes may come again when a hash has become hot. ``None`` for a batch of an id absorbed before.
+        """
+        if batch_id is not None and batch_id in self.store.batches:
+            return None
+        batch, self.touched = self.number, []
+        stored = _stored(docs, self.seed, self.span, self.gram, self.slots)
+        texts = self.store.add("texts", stored, "slot", self.buckets, placed=True, sort=False)
+        self._new_classes_run = self._new_classes(texts, batch)
+        prints = texts.df().where("prints is not null").select("cls", "doc", "slot", "prints")
+        if batch:  # classes of former batches are in the index already
+            prints = prints.join(self._new_classes_run.df().select("cls", "doc", "slot"), ["cls", "doc", "slot"], "left_semi")
+        matches = []
+        for i in range(batches):
+            found = self._absorb_hashes(prints.where(F.pmod("cls", F.lit(batches)) == i), batch)
+            matches.append(settle(found, "matches"))
+        hot = self._hot_matches(batch)
+        chains = settle(_chains(_union([*matches, *([] if hot is None else [hot])]), self.gram), "chains")
+        verified = _verify(chains, self).distinct()
+        self.compact("classes", "wide", "hot")
+        self.store.publish(batch_id)
+        for m in (*matches, *self.touched, chains):
+            drop(m)
+        return verified
+
+    def members(self) -> DataFrame:
+        """(cls, doc, n) of all texts of at least ``span`` characters."""
+        return _union([r.df().select("cls", "doc", "n") for r in self.store.of("texts")])
 
+    def close(self) -> None:
+        self.store.close()
 
-def shared_spans(texts: DataFrame, firsts: DataFrame, batch: str, batches: int, span: int = 300, gram: int = 150, hot: int = 1000) -> DataFrame:
-    """(a, start_a, b, start_b, size) of all maximal common stretches of texts of two classes, a < b.
 
-    ``texts`` (doc, cls, text), ``firsts`` (cls, doc) with one text of each class; ``batch`` numbers
-    the batches, 0 up to ``batches`` - 1, in which the classes reach the index.
-    """
-    index = SpanIndex(texts.sparkSession, span, gram, hot=hot)
-    matches = None
-    for i in range(batches):
-        found = settle(index.absorb(texts.where(F.col(batch) == i)), "matches")
-        matches = found if matches is None else matches.union(found)
-        if index.any_hot:
-            wide = settle(_wide_windows(_asked(texts, firsts, index.hot_places(), F.col("pos")), span, gram), "wide")
-            w = wide.select("fp", F.col("cls").alias("a"), F.col("pos").alias("p"))
-            v = wide.select("fp", F.col("cls").alias("b"), F.col("pos").alias("q"))
-            matches = matches.union(w.join(v, "fp").where("a < b").select("a", "p", "b", "q", F.lit(span).alias("size")))
-    chains = settle(_chains(matches, gram), "chains")
-    index.close()
-    verified = _verify(chains, texts, firsts, span, gram)
-    drop(chains)
-    return verified.distinct()
-
-
-def classes(docs: DataFrame, doc_id: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
-    """Members (cls, doc, n) of the classes of equal texts of at least ``span`` characters, and the texts (doc, text, cls).
-
-    The class is a 64-bit hash; where two different texts should get the same
-    one, the hash is taken anew with another seed.
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300, batches: int = 3, hot: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Members (cls, doc, n) of the classes of equal texts, and the spans that classes share.
+
+    Where two different texts get the same class number, all is done anew with another seed.
     """
     seed = 0
-    long = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.length("text") >= span)
     while True:
-        marked = long.withColumn("cls", F.xxhash64(F.lit(seed), "text"))
-        members = settle(marked.select("cls", "doc", F.length("text").alias("n"), F.unhex(F.md5("text")).alias("h")), "members")
-        one = members.groupBy("cls").agg(F.min("doc").alias("doc"), (F.min("h") < F.max("h")).alias("clash"))
-        if one.where("clash").isEmpty():
-            return members.drop("h"), marked
-        seed += 1
-
-
-def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300, batches: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Members (cls, doc, n) of the classes of equal texts, and the spans that classes share."""
-    members, marked = classes(docs, doc_id, text, span)
-    firsts = members.groupBy("cls").agg(F.min("doc").alias("doc"))
-    return members, shared_spans(marked.withColumn("batch", F.pmod("cls", F.lit(batches))), firsts, "batch", batches, span)
+        index = SpanIndex(docs.sparkSession, span, span // 2, hot=hot, seed=seed)
+        try:
+            spans = index.absorb(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), batches)
+            return index.members(), spans
+        except ClassClash:
+            seed += 1
 
 
 def sharing_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:

@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from loamwork.llm.shared_spans import SpanIndex, classes, fingerprints, shared_share, shared_spans, sharing_pairs, window_hashes
+from loamwork.llm.shared_spans import SpanIndex, fingerprints, found_spans, shared_share, sharing_pairs, window_hashes
 
 SCHEMA = "doc_id long, text string, cls string, a string, fp string"
 
@@ -60,11 +61,8 @@ def test_pairs_and_shares_against_brute_force(spark):
 
 
 def test_hot_hashes_lose_nothing(spark):
-    texts = sample(2)
-    members, marked = classes(docs(spark, texts), "doc_id", "text", 300)
-    firsts = members.groupBy("cls").agg({"doc": "min"}).toDF("cls", "doc")
-    batched = marked.selectExpr("*", "pmod(cls, 3) as batch")
-    plain, hot = ({tuple(r) for r in shared_spans(batched, firsts, "batch", 3, hot=h).collect()} for h in (1000, 2))
+    df = docs(spark, sample(2))
+    plain, hot = ({tuple(r) for r in found_spans(df, hot=h)[1].collect()} for h in (1000, 2))
     assert plain == hot and plain
 
 
@@ -81,16 +79,38 @@ def test_texts_in_overlapping_pieces():
 def test_runs_are_compacted(spark):
     texts = [(n, text(random.Random(n), 400)) for n in range(24)]
     index = SpanIndex(spark, buckets=2)
-    df = docs(spark, texts).selectExpr("doc_id as cls", "text")
+    df = docs(spark, texts).selectExpr("doc_id as doc", "text")
     for n in range(6):
-        index.absorb(df.where(f"cls % 6 = {n}")).count()
-    assert len(index.runs) <= 4
-    index.compact()
-    places = {(r.cls, r.pos) for _, run in index.runs for r in run.df().collect()}
+        assert index.absorb(df.where(f"doc % 6 = {n}")).count() == 0
+    index.compact("hashes")
+    assert len(index.store.of("hashes")) <= 3
+    doc_of = {r.cls: r.doc for r in index.members().collect()}
+    places = {(doc_of[r.cls], r.pos) for run in index.store.of("hashes") for r in run.df().collect()}
     number, place, _ = fingerprints([t for _, t in texts], 300, 150)
     assert places == set(zip(number.tolist(), place.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_an_index_outlives_its_session_and_an_interrupted_batch(spark, tmp_path, hot):
+    texts = sample(3)
+    df = docs(spark, texts).selectExpr("doc_id as doc", "text")
+    path, found = f"file://{tmp_path}/index", set()
+    for n in range(3):
+        index = SpanIndex(spark, buckets=3, hot=hot, path=path)
+        part = df.where(f"doc % 3 = {n}")
+        found |= {tuple(r) for r in index.absorb(part, batch_id=f"b{n}").collect()}
+        assert index.absorb(part, batch_id=f"b{n}") is None  # delivered twice
+        index.store.add("hashes", spark.createDataFrame([(1, 1, 1, 9)], "fp long, cls long, pos int, batch int"), "fp", 3)  # never published
+        index.close()
+    kept = SpanIndex(spark, hot=hot, path=path)
+    assert kept.buckets == 3 and kept.number == 3
+    whole = {tuple(r) for r in found_spans(docs(spark, texts), hot=hot)[1].collect()}
+    assert found == whole and whole
+    # two copies of a text told before bring nothing new
+    again = [(900, texts[3][1]), (901, texts[3][1])]
+    assert kept.absorb(docs(spark, again).selectExpr("doc_id as doc", "text")).count() == 0
+
+
 def test_empty_table(spark):
     assert sharing_pairs(docs(spark, [])).count() == 0
     assert shared_share(docs(spark, [(1, None), (2, "")])).count() == 2
