@@ -203,7 +203,7 @@ def _wide_windows(asked: DataFrame, span: int, gram: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for cls, t, where in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for cls, t, where in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
                 starts = np.unique(np.concatenate([np.arange(max(0, p - slack), min(p, len(t) - span) + 1) for p in where]))
                 if len(starts):
                     first = int(starts[0])
@@ -230,34 +230,35 @@ def _chains(matches: DataFrame, gram: int) -> DataFrame:
 
 
 def _context(asked: DataFrame, slack: int) -> DataFrame:
-    """(cls, start, size, before, digest, after): text around and digest of the stretches (start, size) asked for."""
+    """(slot, cls, start, size, before, digest, after): text around and digest of the stretches (start, size) asked for."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for cls, t, where in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for cls, t, where, slot in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for w in where:
                     s, e = w["start"], w["start"] + w["size"]
                     digest = hashlib.blake2b(t[s:e].encode(), digest_size=16).digest()
-                    rows.append((cls, s, w["size"], t[max(0, s - slack) : s], digest, t[e : e + slack]))
+                    rows.append((slot, cls, s, w["size"], t[max(0, s - slack) : s], digest, t[e : e + slack]))
             if rows:
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["cls", "start", "size", "before", "digest", "after"])
+                types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["slot", "cls", "start", "size", "before", "digest", "after"])
 
-    return asked.mapInArrow(make, "cls long, start int, size int, before string, digest binary, after string")
+    return asked.mapInArrow(make, "slot int, cls long, start int, size int, before string, digest binary, after string")
 
 
 def _verify(chains: DataFrame, index: SpanIndex) -> DataFrame:
-    """(a, start_a, b, start_b, size) of the true maximal spans of at least ``span`` characters."""
+    """(a, start_a, b, start_b, size) of the true maximal spans of at least ``span`` characters.
+
+    What stands around a stretch is taken where its text lies and stays there; the chains come to it, and
+    take what stands around the stretch in ``a`` along to the one in ``b``.
+    """
     span, slack = index.span, index.span - index.gram
     left = chains.select(F.col("a").alias("cls"), "start", "size")
     right = chains.select(F.col("b").alias("cls"), (F.col("start") + F.col("shift")).alias("start"), "size")
     asked = index.asked(left.union(right), F.struct("start", "size"))
-    with _where_the_texts_are(chains.sparkSession):
-        context = settle(_context(asked, slack), "context")  # read twice below
-    x = context.select(F.col("cls").alias("a"), "start", "size", F.struct("before", "digest", "after").alias("x"))
-    y = context.select(F.col("cls").alias("b"), F.col("start").alias("start_b"), "size", F.struct("before", "digest", "after").alias("y"))
-    both = chains.join(x, ["a", "start", "size"]).withColumn("start_b", F.col("start") + F.col("shift")).join(y, ["b", "start_b", "size"]).where("x.digest = y.digest")
+    at = index.places()
+    located = chains.withColumn("start_b", F.col("start") + F.col("shift")).join(at.select(F.col("cls").alias("a"), F.col("slot").alias("slot_a")), "a").join(at.select(F.col("cls").alias("b"), F.col("slot").alias("slot_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,9 +273,14 @@ def _verify(chains: DataFrame, index: SpanIndex) -> DataFrame:
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["a", "start_a", "b", "start_b", "size"])
 
-    flat = both.select("a", "start", "b", "start_b", "size", F.col("x.before"), F.col("y.before").alias("yb"), F.col("x.after"), F.col("y.after").alias("ya"))
-    verified = settle(flat.mapInArrow(check, "a long, start_a int, b long, start_b int, size int"), "verified")
-    drop(context)
+    with _where_the_texts_are(chains.sparkSession):
+        around = Run(_context(asked, slack), "slot", index.buckets, "context", placed=True, sort=False)
+        x = around.df().select(F.col("slot").alias("slot_a"), F.col("cls").alias("a"), "start", "size", F.struct("before", "digest", "after").alias("x"))
+        y = around.df().select(F.col("slot").alias("slot_b"), F.col("cls").alias("b"), F.col("start").alias("start_b"), "size", F.struct("before", "digest", "after").alias("y"))
+        both = located.join(x, ["slot_a", "a", "start", "size"]).join(y, ["slot_b", "b", "start_b", "size"]).where("x.digest = y.digest")
+        flat = both.select("a", "start", "b", "start_b", "size", F.col("x.before"), F.col("y.before").alias("yb"), F.col("x.after"), F.col("y.after").alias("ya"))
+        verified = settle(flat.mapInArrow(check, "a long, start_a int, b long, start_b int, size int"), "verified")
+    around.drop()
     return verified
 
 
@@ -306,8 +312,12 @@ class SpanIndex:
         for kind in kinds:
             self.store.compact(kind, self.fanout, _union, placed=False)
 
+    def places(self) -> DataFrame:
+        """(cls, slot) of all classes."""
+        return _union([r.df().select("cls", "slot") for r in self.store.of("classes")])
+
     def asked(self, places: DataFrame, place: Column) -> DataFrame:
-        """(cls, text, places) of the classes in ``places``: one text each, read where it lies.
+        """(cls, text, places, slot) of the classes in ``places``: one text each, read where it lies.
 
         A class has at most one place for each character of its text. The places move, the texts don't.
         """
@@ -321,7 +331,7 @@ class SpanIndex:
             texts = r.df().where("text is not null").select("slot", "cls", "doc", "text")
             here = located.where(F.col("batch") == n).select("slot", "cls", "doc", "places")
             # rows repeated within a bucket have the same text
-            one = texts.join(here, ["slot", "cls", "doc"]).select("cls", "text", "places")
+            one = texts.join(here, ["slot", "cls", "doc"]).select("cls", "text", "places", "slot")
             out = one if out is None else out.union(one)
         return out
 
