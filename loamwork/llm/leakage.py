@@ -20,12 +20,16 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from loamwork.storage import drop, settle
 
 ATTRIBUTE = r"""\s+[\w:.-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)"""
 TAG = re.compile(rf"<!--.*?-->|</?([A-Za-z][A-Za-z0-9]*)(?:{ATTRIBUTE})*\s*/?>", re.S)
@@ -131,9 +135,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class ItemAutomaton:
-    """Generalised suffix automaton of the items' words."""
+    """Generalised suffix automaton of the items' words; at most two states a word.
+
+    With ``ready`` the items' texts are words in comparable form already, with single spaces.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None]], min_words: int) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], min_words: int, ready: bool = False) -> None:
         self.min_words = min_words
         self.vocabulary: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -141,7 +148,7 @@ class ItemAutomaton:
         own: dict[int, set[int]] = {}
         self.sizes: dict[int, int] = {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ((text or "").split() if ready else words(text))]
             self.sizes[item] = len(ids)
             last = 0
             for c in ids:
@@ -191,11 +198,8 @@ class ItemAutomaton:
             p = self.link[p]
         return clone
 
-    def matches(self, text_words: list[str]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
-        """(end, length, items) where the longest passage that ends at word ``end`` has at least ``min_words`` words.
-
-        All items that hold the last ``min_words`` words or more are given.
-        """
+    def _walk(self, text_words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(end, length, state) where the longest passage that ends at word ``end`` has at least ``min_words`` words."""
         get, least = self.vocabulary.get, self.min_words
         ids = [get(w, 0) for w in text_words]
         if len(ids) < least:
@@ -212,97 +216,147 @@ class ItemAutomaton:
                 if (q := self.next[v].get(c)) is not None:
                     v, length = q, length + 1
                 if length >= least:
-                    yield at, length, self.items[self.top[v]] if self.length[self.link[v]] >= least else self.items[v]
+                    yield at, length, v
 
+    def matches(self, text_words: list[str]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        """(end, length, items) of all items that hold the last ``min_words`` words before ``end`` or more."""
+        for at, length, v in self._walk(text_words):
+            yield at, length, self.items[self.top[v]] if self.length[self.link[v]] >= self.min_words else self.items[v]
 
-def _blocks(items: DataFrame, item_id: str, item_text: str, max_chars: int) -> list[list[tuple[int, str | None]]]:
-    """The stated items, in blocks whose automaton has a bounded size."""
-    total = items.agg(F.sum(F.length(item_text))).first()[0] or 0
-    n = total // max_chars + 1
-    block = F.pmod(F.xxhash64(item_id), F.lit(n))
-    return [[tuple(r) for r in items.where(block == i).select(item_id, item_text).collect()] for i in range(n)]
+    def longest(self, text_words: list[str]) -> dict[int, int]:
+        """The longest passage of each item that the text holds.
 
+        An item that lacks the whole match may hold a suffix of it: the states on the way of suffix links
+        are the suffixes with more items, each item counting where it first comes up.
+        """
+        found: dict[int, int] = {}
+        for _, n, v in self._walk(text_words):
+            while True:
+                for i in self.items[v]:
+                    if found.get(i, 0) < n:
+                        found[i] = n
+                v = self.link[v]
+                n = self.length[v]
+                if n < self.min_words:
+                    break
+        return found
+
+
+def _normalised(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, row, words, n): the words of each text that isn't null, in comparable form, and their number; ``row`` tells texts of one key apart."""
+    kind = dict(df.dtypes)[key]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [words(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(w) for w in found], pa.string()), pa.array([len(w) for w in found], pa.int32())], ["key", "row", "words", "n"])
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", min_words: int = 12, max_chars: int = 20_000_000) -> DataFrame:
-    """(doc_id, item_id, longest_words, item_share): documents that hold a passage of an item.
+    return df.where(F.col(text).isNotNull()).select(F.col(key), F.xxhash64(text), F.col(text)).mapInArrow(make, f"key {kind}, row long, words string, n int")
 
-    ``longest_words`` is the length of the longest passage, ``item_share`` its share of the item.
-    Items are a stated set; beyond ``max_chars`` characters they go in blocks.
-    """
-    spark, types, item_types = docs.sparkSession, dict(docs.dtypes), dict(items.dtypes)
+
+def _blocks(items: DataFrame, item_id: str, item_text: str, max_words: int) -> tuple[int, Iterator[list[tuple[int, str | None]]]]:
+    """Number of blocks, and one block after another: items whose words are about ``max_words``."""
+    ready = settle(_normalised(items, item_id, item_text), "items")
+    total = ready.agg(F.sum("n")).first()[0] or 0
+    n = -(-total // max_words) or 1
+    block = F.pmod(F.xxhash64("key"), F.lit(n))
+    return n, ([tuple(r) for r in ready.where(block == i).select("key", "words").collect()] for i in range(n))
+
+
+def _scan(docs: DataFrame, schema: str, rows_of: Callable[[ItemAutomaton, tuple], list[tuple]], items: list, min_words: int) -> tuple[DataFrame, Broadcast]:
+    """Rows that ``rows_of`` makes of each row of ``docs`` with the automaton of one block."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(ItemAutomaton(items, min_words, True)))
+    names = [f.name for f in docs.sparkSession.createDataFrame([], schema).schema.fields]
+    types = [to_arrow_type(f.dataType) for f in docs.sparkSession.createDataFrame([], schema).schema.fields]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ItemAutomaton.of(shared.value)
+        for b in batches:
+            rows = [r for x in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in rows_of(automaton, x)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return docs.mapInArrow(scan, schema), shared
+
+
+def _by_block(docs: DataFrame, blocks: Iterator[list], schema: str, rows_of: Callable[[ItemAutomaton, tuple], list[tuple]], min_words: int) -> DataFrame:
+    """Rows of all blocks. Each block is matched, its rows written and its automaton released before the next is made."""
     out = None
-    for block in _blocks(items, item_id, item_text, max_chars):
-        shared = spark.sparkContext.broadcast(vars(ItemAutomaton(block, min_words)))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            automaton = ItemAutomaton.of(shared.value)
-            for b in batches:
-                rows: list[tuple] = []
-                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    found: dict[int, int] = {}
-                    for _, length, hit in automaton.matches(words(t)):
-                        for i in hit:
-                            found[i] = max(found.get(i, 0), length if length <= automaton.sizes[i] else automaton.min_words)
-                    rows += [(doc, i, n, n / automaton.sizes[i]) for i, n in found.items()]
-                if rows:
-                    d, i, n, s = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, b.column(0).type), pa.array(i), pa.array(n, pa.int32()), pa.array(s)], ["d", "i", "n", "s"])
-
-        schema = f"`{doc_id}` {types[doc_id]}, `{item_id}` {item_types[item_id]}, longest_words int, item_share double"
-        one = docs.select(doc_id, text).where(F.col(text).isNotNull()).mapInArrow(scan, schema)
+    for items in blocks:
+        found, shared = _scan(docs, schema, rows_of, items, min_words)
+        one = settle(found, "leaks")
+        shared.destroy()
         out = one if out is None else out.union(one)
     return out
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", min_words: int = 12, max_share: float = 0.5, max_chars: int = 20_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", min_words: int = 12, max_words: int = 200_000) -> DataFrame:
+    """(doc_id, item_id, longest_words, item_share): documents that hold a passage of an item.
+
+    ``longest_words`` is the length of the item's longest passage in the document, ``item_share`` its share of the item.
+    Items are a stated set; an automaton holds about ``max_words`` of their words, so at most twice as many states of
+    some 600 bytes. More words go in blocks, one at a time, for which the documents are normalised once.
+    """
+    types, item_types = dict(docs.dtypes), dict(items.dtypes)
+    schema = f"`{doc_id}` {types[doc_id]}, `{item_id}` {item_types[item_id]}, longest_words int, item_share double"
+    n, blocks = _blocks(items, item_id, item_text, max_words)
+    leaks = lambda automaton, doc, w: [(doc, i, k, k / automaton.sizes[i]) for i, k in automaton.longest(w).items()]
+    if n == 1:
+        return _scan(docs.select(doc_id, text).where(F.col(text).isNotNull()), schema, lambda a, x: leaks(a, x[0], words(x[1])), next(blocks), min_words)[0]
+    ready = settle(_normalised(docs, doc_id, text).where(F.col("n") >= min_words).select("key", "words"), "words")
+    out = _by_block(ready, blocks, schema, lambda a, x: leaks(a, x[0], x[1].split()), min_words)
+    drop(ready)
+    return out
+
+
+def _cut(text: str, hits: list[tuple[int, int]], max_share: float) -> tuple[int, int, str | None]:
+    """(spans, characters, text) after the stretches from word to word are taken out."""
+    at = spans(text)
+    merged: list[list[int]] = []
+    for f, t in sorted({(at[first][1], at[last][2]) for first, last in hits}):
+        if merged and f <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], t)
+        else:
+            merged.append([f, t])
+    gone = sum(e - s for s, e in merged)
+    kept, end = [], 0
+    for s, e in merged:
+        kept.append(text[end:s])
+        end = e
+    return len(merged), gone, "".join([*kept, text[end:]]) if gone <= max_share * len(text) else None
+
+
+def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", min_words: int = 12, max_share: float = 0.5, max_words: int = 200_000) -> DataFrame:
     """(doc_id, removed_spans, removed_chars, text) of the documents with leaks.
 
     Spans of ``min_words`` or more are cut out; ``text`` is null where they are more than
     ``max_share`` of the text, so that the document had better go as a whole.
-    With items in blocks, a document's spans of all blocks are joined before it is cut.
+    With one block of items (see ``find_leaks``) all is done in the scan of the documents; with several, the places
+    of all blocks are joined to a document's text before it is cut.
     """
-    spark, types = docs.sparkSession, dict(docs.dtypes)
-    found = None
-    for block in _blocks(items, item_id, item_text, max_chars):
-        shared = spark.sparkContext.broadcast(vars(ItemAutomaton(block, min_words)))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            automaton = ItemAutomaton.of(shared.value)
-            for b in batches:
-                ids, froms, tos = [], [], []
-                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    hits = [(end - length + 1, end) for end, length, _ in automaton.matches(words(t))]
-                    if hits:
-                        at = spans(t)
-                        for first, last in hits:
-                            ids.append(doc)
-                            froms.append(at[first][1])
-                            tos.append(at[last][2])
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(froms, pa.int32()), pa.array(tos, pa.int32())], ["d", "f", "t"])
-
-        one = docs.select(doc_id, text).where(F.col(text).isNotNull()).mapInArrow(scan, f"`{doc_id}` {types[doc_id]}, f int, t int")
-        found = one if found is None else found.union(one)
-    # at most one span for each word of a text
-    spans_of = found.groupBy(doc_id).agg(F.sort_array(F.collect_set(F.struct("f", "t"))).alias("cuts"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = dict(docs.dtypes)
+    schema = f"`{doc_id}` {types[doc_id]}, removed_spans int, removed_chars int, text string"
+    n, blocks = _blocks(items, item_id, item_text, max_words)
+    hits = lambda automaton, w: [(end - length + 1, end) for end, length, _ in automaton._walk(w)]
+    if n == 1:
+
+        def cut(automaton: ItemAutomaton, x: tuple) -> list[tuple]:
+            found = hits(automaton, words(x[1]))
+            return [(x[0], *_cut(x[1], found, max_share))] if found else []
+
+        return _scan(docs.select(doc_id, text).where(F.col(text).isNotNull()), schema, cut, next(blocks), min_words)[0]
+    ready = settle(_normalised(docs, doc_id, text).where(F.col("n") >= min_words).select("key", "row", "words"), "words")
+    found = _by_block(ready, blocks, f"`{doc_id}` {types[doc_id]}, row long, f int, t int", lambda a, x: [(x[0], x[1], *h) for h in hits(a, x[2].split())], min_words)
+    drop(ready)
+    # at most one place for each word of a text
+    places = found.groupBy(doc_id, "row").agg(F.collect_set(F.struct("f", "t")).alias("places"))
+
+    def cut_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, t, cuts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                merged: list[list[int]] = []
-                for c in cuts:
-                    if merged and c["f"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], c["t"])
-                    else:
-                        merged.append([c["f"], c["t"]])
-                gone = sum(e - s for s, e in merged)
-                kept, at = [], 0
-                for s, e in merged:
-                    kept.append(t[at:s])
-                    at = e
-                rows.append((doc, len(merged), gone, "".join([*kept, t[at:]]) if gone <= max_share * len(t) else None))
-            d, n, g, k = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(d, b.column(0).type), pa.array(n, pa.int32()), pa.array(g, pa.int32()), pa.array(k, pa.string())], ["d", "n", "g", "k"])
-
-    return docs.select(doc_id, text).join(spans_of, doc_id).mapInArrow(cut, f"`{doc_id}` {types[doc_id]}, removed_spans int, removed_chars int, text string")
+            rows = [(d, *_cut(t, [(h["f"], h["t"]) for h in at], max_share)) for d, t, at in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            d, k, g, t = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(d, b.column(0).type), pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(t, pa.string())], ["d", "n", "g", "k"])
+
+    keyed = docs.select(F.col(doc_id), F.col(text).alias("__text")).where("__text is not null").withColumn("row", F.xxhash64("__text"))
+    # rows of a null id are told apart by their text alone
+    return keyed.join(places.withColumnRenamed(doc_id, "__id"), F.col(doc_id).eqNullSafe(F.col("__id")) & (keyed["row"] == places["row"])).select(doc_id, "__text", "places").mapInArrow(cut_joined, schema)

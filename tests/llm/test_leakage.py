@@ -1,5 +1,8 @@
+import os
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 
 from loamwork.llm.leakage import ItemAutomaton, find_leaks, remove_leaks, spans, words
@@ -63,8 +66,8 @@ def test_leaks_at_the_limit(spark):
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == sorted([*[(d, i) for d in (1, 4, 4, 7) for i in (1, 4, 5)]])
     best = {(r.doc_id, r.item_id): (r.longest_words, round(r.item_share, 3)) for r in found.collect()}
     assert best[(1, 1)] == (12, round(12 / len(words(ITEM)), 3)) and best[(4, 1)][1] == 1.0
-    blocks = find_leaks(*frames(spark, docs, items), max_chars=50)
-    assert sorted((r.doc_id, r.item_id) for r in blocks.collect()) == sorted((r.doc_id, r.item_id) for r in found.collect())
+    blocks = find_leaks(*frames(spark, docs, items), max_words=20)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, found.collect()))
 
 
 def test_removal(spark):
@@ -73,6 +76,50 @@ def test_removal(spark):
     out = {r.doc_id: r for r in remove_leaks(*frames(spark, docs, [(1, ITEM)])).collect()}
     assert out[1].removed_spans == 1 and out[1].text == "Keep this part. " * 9 + " And this."
     assert out[2].text is None and set(out) == {1, 2}
+    more = [(n, ITEM) for n in range(1, 6)] + [(9, "Keep this part. " * 9)]
+    one, many = (sorted(map(tuple, remove_leaks(*frames(spark, [*docs, (1, ITEM + " again"), (None, ITEM)], more), max_words=m).collect()), key=repr) for m in (200_000, 20))
+    assert one == many and len(one) == 4
+
+
+def test_longest_passage_of_each_item(spark):
+    long, other = [f"a{n}" for n in range(40)], [f"b{n}" for n in range(50)]
+    items = [(1, " ".join(long)), (2, " ".join(other + long[-12:])), (3, " ".join(long[5:30] + other[:3]))]
+    found = {r.item_id: (r.longest_words, round(r.item_share, 4)) for r in find_leaks(*frames(spark, [(7, " ".join(long))], items)).collect()}
+    assert found == {1: (40, 1.0), 2: (12, round(12 / 62, 4)), 3: (25, round(25 / 28, 4))}
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    for _ in range(150):
+        items = [(n, text(rng.randrange(12))) for n in range(5)]
+        doc = text(25).split()
+        want = {}
+        for n, t in items:
+            w = t.split()
+            runs = [k for i in range(len(w)) for k in range(3, len(w) - i + 1) if any(doc[x : x + k] == w[i : i + k] for x in range(len(doc)))]
+            if runs:
+                want[n] = max(runs)
+        assert ItemAutomaton(items, 3).longest(doc) == want
+
+
+DATA = "/root/testdata/sf0.001"
+LONGEST = """
+WITH d AS (SELECT doc_id, unnest(range(1, len(w) - 10)) AS p, w FROM docs WHERE len(w) >= 12), i AS (SELECT item_id, unnest(range(1, len(w) - 10)) AS q, w FROM items WHERE len(w) >= 12),
+g AS (SELECT doc_id, item_id, p, p - q AS shift FROM (SELECT doc_id, p, w[p:p + 11] AS k FROM d) JOIN (SELECT item_id, q, w[q:q + 11] AS k FROM i) USING (k)),
+r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS run FROM g),
+n AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM r GROUP BY doc_id, item_id, shift, run)
+SELECT doc_id, item_id, max(n) FROM n GROUP BY 1, 2
+"""
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_longest_passages_of_the_test_data_against_sql(spark):
+    """The words are the operator's, the matching is SQL's."""
+    docs, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "eval_items"))
+    con = duckdb.connect()
+    for name, df, key, text in (("docs", docs, "doc_id", "text"), ("items", items, "item_id", "item_text")):
+        con.register(f"{name}_", pd.DataFrame([(r[0], " ".join(words(r[1]))) for r in df.select(key, text).collect()], columns=[key, "t"]))
+        con.execute(f"create table {name} as select {key}, string_split(t, ' ') as w from {name}_")
+    found = sorted((r.doc_id, r.item_id, r.longest_words) for r in find_leaks(docs, items).collect())
+    assert found and found == sorted(con.execute(LONGEST).fetchall())
 
 
 def test_empty_tables(spark):
