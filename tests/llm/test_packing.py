@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from loamwork.llm.packing import Bins, crossover, evolve, fill, individual, pack
+from loamwork.llm.packing import Bins, check, crossover, evolve, exact, fill, individual, lower_bound, pack
 
 SCHEMA = "doc_id long, text string, bin string, tokens string, container_id string"
 
@@ -23,6 +23,39 @@ def test_crossover_keeps_every_item_once():
         valid(a), valid(b)
 
 
+def test_other_individuals_and_the_lower_bound():
+    rng = random.Random(4)
+    for _ in range(40):
+        capacity = rng.randrange(2, 60)
+        sizes = [rng.randrange(0, capacity + 1) for _ in range(rng.randrange(1, 9))]
+        made = exact(sizes, capacity)
+        valid(made)
+
+        def best(rest, room):  # all packings
+            if not rest:
+                return len(room)
+            found = len(sizes)
+            for k in {r: k for k, r in enumerate(room) if r >= rest[0]}.values():
+                found = min(found, best(rest[1:], [*room[:k], room[k] - rest[0], *room[k + 1 :]]))
+            return min(found, best(rest[1:], [*room, capacity - rest[0]])) if len(room) < len(sizes) else found
+
+        least = best(sorted(sizes, reverse=True), [])
+        halves = [lower_bound(sizes, capacity), least, len(made.items)]
+        assert halves == sorted(halves) or not sum(sizes)
+
+
+def test_evolution_beats_best_fit():
+    rng = random.Random(11)
+    gained = 0
+    for n in range(6):
+        sizes = [rng.randrange(26, 51) for _ in range(240)]
+        first = len(individual(sizes, 100, None).items)
+        _, (bins, _) = evolve(sizes, 100, [], str(n), 8, 30, 15)
+        assert lower_bound(sizes, 100) <= bins <= first
+        gained += first - bins
+    assert gained > 0
+
+
 def test_evolution_gets_no_worse_and_near_the_bound():
     rng = random.Random(2)
     sizes = [rng.randrange(20, 70) for _ in range(300)]
@@ -74,6 +107,26 @@ def test_every_token_has_one_place(packed):
             assert at <= capacity
 
 
+def test_check_finds_faults(spark, packed):
+    texts, df = packed
+    docs = spark.createDataFrame([(*t, None, None, None) for t in texts], SCHEMA)
+    figures = lambda p: {r.container_id: tuple(r)[2:] for r in check(p, docs).collect()}
+    assert figures(df) == {1: (len(texts), 0, 0, 0, 0), 2: (len(texts), 0, 0, 0, 0)}
+    assert figures(df.where("doc_id is null or doc_id <> 3 or container_id <> 1"))[1][0] == len(texts) - 1
+    assert figures(df.where("doc_id <> 300 or piece <> 1"))[1][1] > 0
+    assert figures(df.union(df.where("container_id = 2 and tokens > 150")))[2][1] > 0
+    assert figures(df.withColumn("bin", df.bin.substr(1, 3)))[1][2] > 0
+    assert figures(df.withColumn("bin_start", df.bin_start + 1))[2][4] > 0
+
+
+def test_the_same_packing_from_other_files(spark, packed):
+    texts, df = packed
+    again = spark.createDataFrame([(*t, None, None, None) for t in texts[::-1]], SCHEMA).repartition(7)
+    kinds = spark.createDataFrame([(2, 300), (1, 64)], "container_id long, capacity_tokens int")
+    same = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    assert same(pack(again, kinds, block_items=50)) == same(df)
+
+
 def test_little_space_is_left(packed):
     for r in fill(packed[1]).collect():
         assert r.bins <= r.least_bins * 1.06 + 1
