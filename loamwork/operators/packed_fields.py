@@ -11,8 +11,9 @@ other, or marks are stray; delimiters inside a quoted value are never
 separators, and names without any mark are never joined.
 
 Defined results: null, empty and separator-only fields give no rows; repeated
-names stay; empty quotes are no name; equal texts give equal results; time and
-memory are linear in a text's length. Other columns are ignored.
+names stay; empty quotes are no name; equal texts give equal results. Time and memory grow
+with a text's length, the number of known values found in it and the length of
+its quoted names. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.storage import settle
+from loamwork.storage import drop, settle
 
 CLOSING = {"[": "]", '"': '"', "'": "'", "`": "`"}
 EXTRA = "_$#@"
@@ -121,16 +123,25 @@ class Segmenter:
                 else:
                     run_end -= 1
             ends.reverse()
-            starts = [i for i, c in enumerate(text) if c == mark]
-            k = 0
-            for s in starts:
+            # a run of closing marks ends a name that begins before it if their number is odd
+            odd = [k for k, (run, last) in enumerate(ends) if (last - run + 1) % 2]
+            k = o = 0
+            for s in (i for i, c in enumerate(text) if c == mark):
                 while k < len(ends) and ends[k][1] <= s:
                     k += 1
-                for run, last in ends[k:]:
-                    first = max(run, s + 1)
-                    if (last - first + 1) % 2:
+                if k < len(ends) and ends[k][0] <= s:  # within a run: what is left of it counts
+                    if (ends[k][1] - s) % 2:
+                        last = ends[k][1]
                         add(s, last + 1, text[s + 1 : last].replace(close * 2, close), (s + 1, last))
-                        break
+                        continue
+                    after = k + 1
+                else:
+                    after = k
+                while o < len(odd) and odd[o] < after:
+                    o += 1
+                if o < len(odd):
+                    last = ends[odd[o]][1]
+                    add(s, last + 1, text[s + 1 : last].replace(close * 2, close), (s + 1, last))
         for s, e in known:
             opens = s > 0 and text[s - 1] in CLOSING
             closes = e < n and text[e] in CLOSING.values()
@@ -187,8 +198,9 @@ def dictionary(df: DataFrame, fields: list[str]) -> DataFrame:
 def split_fields(df: DataFrame, row_id: str, fields: list[str], block_values: int = 200_000) -> DataFrame:
     """(row_id, fieldname, valueposition, columnvalue), positions from 1.
 
-    The dictionary goes to the executors in blocks of about ``block_values`` values:
-    each block's automaton adds its hits to the rows, and the last step chooses among the hits of all.
+    An automaton holds about ``block_values`` values of the dictionary. Where there are more, one block after another adds
+    its hits to the rows, which are written in between, and its values are released before the next is made; so a
+    task never has more than one automaton, and the last step chooses among the hits of all.
     """
     id_type = dict(df.dtypes)[row_id]
     known = settle(dictionary(df, fields), "known")
@@ -196,10 +208,29 @@ def split_fields(df: DataFrame, row_id: str, fields: list[str], block_values: in
     each = F.array(*(F.struct(F.lit(f).alias("fieldname"), F.col(f).alias("text")) for f in fields))
     long = df.select(F.col(row_id).alias("id"), F.inline(each)).where("text is not null").withColumn("hits", F.expr("cast(array() as array<int>)"))
     schema = f"id {id_type}, fieldname string, text string, hits array<int>"
+    result = f"`{row_id}` {id_type}, fieldname string, valueposition int, columnvalue string"
+
+    def values(i: int) -> Broadcast:
+        return df.sparkSession.sparkContext.broadcast([r[0] for r in known.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == i).collect()])
 
+    def splitting(shared: Broadcast | None):  # noqa: ANN202
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            segmenter = Segmenter([] if shared is None else shared.value)
+            for b in batches:
+                rows = []
+                for key, field, text, h in zip(b["id"], b["fieldname"], b["text"], b["hits"], strict=True):
+                    pairs = None if shared is not None else list(zip(map(int, h[::2]), map(int, h[1::2]), strict=True))
+                    rows += [(key, field, p, v) for p, v in enumerate(segmenter.split(text, pairs), 1)]
+                out = pd.DataFrame(rows, columns=[row_id, "fieldname", "valueposition", "columnvalue"])
+                yield out.astype({row_id: b["id"].dtype}) if len(out) else out
+
+        return split
+
+    if blocks == 1:
+        return long.mapInPandas(splitting(values(0)), result)
+    former = None
     for i in range(blocks):
-        block = [r[0] for r in known.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == i).collect()]
-        shared = df.sparkSession.sparkContext.broadcast(block)
+        shared = values(i)
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             segmenter = Segmenter(shared.value)
@@ -207,16 +238,8 @@ def split_fields(df: DataFrame, row_id: str, fields: list[str], block_values: in
                 b["hits"] = [[*h, *(x for pair in segmenter.hits(t) for x in pair)] for h, t in zip(b["hits"], b["text"], strict=True)]
                 yield b
 
-        long = long.mapInPandas(find, schema)
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segmenter = Segmenter([])
-        for b in batches:
-            rows = []
-            for key, field, text, h in zip(b["id"], b["fieldname"], b["text"], b["hits"], strict=True):
-                pairs = list(zip(map(int, h[::2]), map(int, h[1::2]), strict=True))
-                rows += [(key, field, p, v) for p, v in enumerate(segmenter.split(text, pairs), 1)]
-            out = pd.DataFrame(rows, columns=[row_id, "fieldname", "valueposition", "columnvalue"])
-            yield out.astype({row_id: b["id"].dtype}) if len(out) else out
-
-    return long.mapInPandas(split, f"`{row_id}` {id_type}, fieldname string, valueposition int, columnvalue string")
+        long = settle(long.mapInPandas(find, schema), "hits")
+        shared.destroy()
+        drop(former)
+        former = long
+    return long.mapInPandas(splitting(None), result)

@@ -135,6 +135,12 @@ def publish_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path} could not be written")
 
 
+def _apart_in_unions(spark: SparkSession) -> None:
+    """Let no union pass on how its parts are bucketed: Spark 4.1 then leaves out the exchange of an aggregate
+    above a union of bucketed tables, yet reads these tables unbucketed, and gives a group once a part."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 class Run:
     """An immutable table hash-bucketed and, unless said otherwise, sorted on its key.
 
@@ -145,6 +151,7 @@ class Run:
 
     def __init__(self, df: DataFrame, key: str | list[str], buckets: int, name: str = "run", placed: bool = False, path: str | None = None, sort: bool = True) -> None:
         keys = [key] if isinstance(key, str) else list(key)
+        _apart_in_unions(df.sparkSession)
         self.spark, self.key, self.buckets = df.sparkSession, keys, buckets
         self.path = path or new_path(self.spark, name)
         self.table = f"loamwork_{uuid.uuid4().hex}"
@@ -157,6 +164,7 @@ class Run:
     @classmethod
     def open(cls, spark: SparkSession, path: str, key: list[str], buckets: int, columns: list[tuple[str, str]], sort: bool) -> Run:
         """A run that another session has written."""
+        _apart_in_unions(spark)
         out = cls.__new__(cls)
         out.spark, out.path, out.key, out.buckets, out.columns, out.sort = spark, path, list(key), buckets, [tuple(c) for c in columns], sort
         out.table = f"loamwork_{uuid.uuid4().hex}"

@@ -26,3 +26,11 @@ def test_runs_join_without_moving(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     a.drop(), b.drop()
+
+
+def test_a_union_of_runs_groups_as_one_table(spark):
+    spark.conf.unset("spark.sql.unionOutputPartitioning")
+    a, b = (Run(spark.range(100).selectExpr("id % 50 as k", "id as v"), "k", 4) for _ in range(2))
+    assert a.df().unionByName(b.df()).groupBy("k").sum("v").count() == 50
+    assert a.df().union(b.df()).select("k").distinct().count() == 50
+    a.drop(), b.drop()
