@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions.names import full_key
 from loamwork.operators.hierarchy import descendants, hierarchy
-from loamwork.operators.load_profile import CUSTOMER_LOADS
+from loamwork.operators.load_profile import CUSTOMER_LOADS, ProfileStore
 from loamwork.operators.orphans import object_orphans
 from loamwork.operators.packed_fields import split_fields
 from loamwork.operators.snapshots import snapshot_changes
@@ -47,12 +47,18 @@ def p4_summary(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("feedcode", "snapshotno").agg(*(F.count_if(F.col("changekind") == k).alias(k) for k in ("added", "removed", "changed")))
 
 
+def _profiled(spark: SparkSession, d: str) -> ProfileStore:
+    store = ProfileStore(spark, CUSTOMER_LOADS)
+    store.add(table(spark, d, "mrg_scd1_source"))
+    return store
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return CUSTOMER_LOADS.findings(table(spark, d, "mrg_scd1_source"), table(spark, d, "gen_objectdataprofile"))
+    return _profiled(spark, d).findings(table(spark, d, "gen_objectdataprofile"))
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    return CUSTOMER_LOADS.metrics(CUSTOMER_LOADS.value_state(table(spark, d, "mrg_scd1_source"))).select("feedcode", "snapshotno", "columnname", "total", "nulls", "distincts", "mode_n")
+    return _profiled(spark, d).metrics().select("feedcode", "snapshotno", "columnname", "total", "nulls", "distincts", "mode_n")
 
 
 def p5_load_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -60,16 +66,30 @@ def p5_load_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_control_limits(spark: SparkSession, d: str) -> DataFrame:
-    p = CUSTOMER_LOADS
-    found = p.control_limits(p.metrics(p.value_state(table(spark, d, "mrg_scd1_source"))))
-    return found.select("feedcode", "snapshotno", "columnname", "metric", *(F.round(c, 6).alias(c) for c in ("value", "mean", "deviation")))
+    return _profiled(spark, d).control_limits().select("feedcode", "snapshotno", "columnname", "metric", *(F.round(c, 6).alias(c) for c in ("value", "mean", "deviation")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return split_fields(table(spark, d, "mrg_dynamicmergeconfiguration"), "dynamicmergeconfigurationid", ["mergeoncolumns", "ignorecolumns"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p3_found, p3_orphans, p3_by_period, p4_found, p4_summary, p5_found, p5_profile, p5_load_profile, p5_control_limits, p6_found)}
+#: Rows with stray or missing marks, beside clean ones that hold the names: (id, merge on, ignored, its names).
+DAMAGED = [
+    (-1, "[Client Rate]; 'Sale, Date'", "`Other| Name`", (["Client Rate", "Sale, Date"], ["Other| Name"])),
+    (-2, "[Client Rate; Foo", "x, Sale, Date'", (["Client Rate", "Foo"], ["x", "Sale, Date"])),
+    (-3, "`other| name, [Client Rate]", "Client Rate, Foo", (["other| name", "Client Rate"], ["Client", "Rate", "Foo"])),
+    (-4, "a; Other| Name` | b", "'sale, date ; c", (["a", "Other| Name", "b"], ["sale, date", "c"])),
+    (-5, "[Unknown Name; d", None, (["Unknown", "Name", "d"], [])),
+]
+
+
+def p6_damaged(spark: SparkSession, d: str) -> DataFrame:
+    """All fields and some damaged ones, in which the dictionary decides."""
+    stored = table(spark, d, "mrg_dynamicmergeconfiguration").select("dynamicmergeconfigurationid", "mergeoncolumns", "ignorecolumns")
+    return split_fields(stored.union(spark.createDataFrame([r[:3] for r in DAMAGED], stored.schema)), "dynamicmergeconfigurationid", ["mergeoncolumns", "ignorecolumns"])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p3_found, p3_orphans, p3_by_period, p4_found, p4_summary, p5_found, p5_profile, p5_load_profile, p5_control_limits, p6_found, p6_damaged)}
 
 _name = lambda p: "||'.'||".join(f"lower(trim({c}, ' '))" for c in p)
 
@@ -164,6 +184,8 @@ e AS (SELECT dynamicmergeconfigurationid, fieldname, unnest(hits) AS h, unnest(r
 SELECT dynamicmergeconfigurationid, fieldname, CAST(p AS INTEGER) AS valueposition, CASE h[1] {_INNER} ELSE h END AS columnvalue FROM e
 """
 
+_MENDED = ", ".join(f"({r[0]}, '{f}', {p}, '{v}')" for r in DAMAGED for f, names in zip(("mergeoncolumns", "ignorecolumns"), r[3], strict=True) for p, v in enumerate(names, 1))
+
 _WALK = lambda name, start: f"""{name}(node, root, depth, path) USING KEY (node) AS (SELECT n, n, 0, n FROM {start}
  UNION SELECT e.dst, arg_min(w.root, w.path), min(w.depth) + 1, min(w.path) || ' -> ' || e.dst FROM {name} w JOIN edges e ON w.node = e.src WHERE e.dst NOT IN (SELECT node FROM recurring.{name}) GROUP BY e.dst)"""
 _P1_HIERARCHY = f"""
@@ -198,6 +220,7 @@ SQL = {
     "p3_orphans": _P3_ORPHANS,
     "p3_by_period": f"SELECT referencedobjecttype, date_trunc('month', capturedate) AS month, count(*) FILTER (WHERE orphan_kind = 'direct') AS direct, count(*) FILTER (WHERE orphan_kind = 'inherited') AS inherited FROM ({_P3_ORPHANS}) GROUP BY ALL",
     "p6_found": _P6,
+    "p6_damaged": f"{_P6} UNION ALL SELECT * FROM (VALUES {_MENDED}) v(a, b, c, d)",
     "p1_found": f"WITH RECURSIVE {_EDGES}, c AS (SELECT src AS ancestorname, dst AS descendantname FROM edges UNION SELECT c.ancestorname, e.dst FROM c JOIN edges e ON c.descendantname = e.src) SELECT * FROM c",
     "p3_found": _P3,
     "p4_found": _P4,

@@ -1,11 +1,12 @@
 """Column-level quality profile of loads, with constraints and drift tests.
 
-Two mergeable states are built in one scan each, for any slice of rows: the
-constraint state (row and violation counts a load) and the value state (how
-often each value stands in each column of a load). States of slices add up, so
-a partition profiled yesterday is not read again. Everything else - nulls,
-distinct and most common values, lengths, drift, control limits - derives from
-the states.
+All declared checks are compiled into one aggregate scan. Its result is a
+mergeable state for any slice of rows: how often each value stands in each
+column of a load, and how many of these cells violate which kind of check.
+States of slices add up. A ``ProfileStore`` keeps the state of each load, so adding a
+load reads that load alone; a load that comes in pieces is merged with what was
+there. Everything else - nulls, distinct and most common values, ranges,
+lengths, violations, drift, control limits - derives from the states.
 
 Defined results: an empty table gives no rows; a load without a predecessor
 has no drift; shares are exact fractions of all rows, repeats included; a load
@@ -17,10 +18,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamwork.operators.snapshots import plain
+from loamwork.storage import RunStore, shuffle_partitions
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
@@ -44,22 +46,30 @@ class LoadProfile:
     declared: dict[str, int] = field(default_factory=dict)
     checks: list[Check] = field(default_factory=list)
 
-    def constraint_state(self, df: DataFrame) -> DataFrame:
-        """(group, number, total, v0, v1, ...) for rows of a slice; one shared aggregate."""
-        aggs = [F.count(F.lit(1)).alias("total")] + [F.count_if(F.expr(c.violated)).alias(f"v{i}") for i, c in enumerate(self.all_checks())]
-        return df.groupBy(self.group, self.number).agg(*aggs)
-
     def all_checks(self) -> list[Check]:
         return [*self.checks, *(Check(c, "maxlength", f"length(rtrim(`{c}`)) >= {n}") for c, n in self.declared.items())]
 
-    def value_state(self, df: DataFrame) -> DataFrame:
-        """(group, number, col, value, n) of a slice; ``col`` is a column's place."""
-        types = dict(df.dtypes)
-        cells = F.array(*(F.struct(F.lit(i).alias("col"), plain(c, types[c]).alias("value")) for i, c in enumerate(self.columns)))
-        return df.select(self.group, self.number, F.inline(cells)).groupBy(self.group, self.number, "col", "value").agg(F.count(F.lit(1)).alias("n"))
+    def kinds(self) -> list[str]:
+        """Kinds of findings that checks of a row give, in order; a state counts them as v0, v1, ..."""
+        return sorted({c.finding for c in self.all_checks()})
+
+    def state(self, df: DataFrame) -> DataFrame:
+        """(group, number, col, value, n, v0, v1, ...) of a slice; ``col`` is a column's place. One scan and one aggregate."""
+        types, checks, kinds = dict(df.dtypes), self.all_checks(), self.kinds()
+
+        def violated(column: str, kind: str) -> Column:
+            """How many of the column's checks of a kind a row violates."""
+            out = F.lit(0)
+            for c in (c for c in checks if (c.column, c.finding) == (column, kind)):
+                out = out + F.coalesce(F.expr(c.violated), F.lit(False)).cast("int")
+            return out
+
+        cells = F.array(*(F.struct(F.lit(i).alias("col"), plain(c, types[c]).alias("value"), *(violated(c, k).alias(f"v{j}") for j, k in enumerate(kinds))) for i, c in enumerate(self.columns)))
+        cell = df.select(self.group, self.number, F.inline(cells))
+        return cell.groupBy(self.group, self.number, "col", "value").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"v{j}").alias(f"v{j}") for j in range(len(kinds))))
 
     def merge(self, *states: DataFrame) -> DataFrame:
-        """Sum of states of slices; either kind."""
+        """Sum of states of slices."""
         out = states[0]
         for s in states[1:]:
             out = out.unionByName(s)
@@ -69,25 +79,27 @@ class LoadProfile:
     def column_name(self) -> Column:
         return F.element_at(F.array(*map(F.lit, self.columns)), F.col("col") + 1)
 
-    def metrics(self, values: DataFrame) -> DataFrame:
-        """(group, number, columnname, total, nulls, distincts, mode_n, mode) from a value state."""
-        return (
-            values.groupBy(self.group, self.number, "col")
-            .agg(
-                F.sum("n").alias("total"),
-                F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-                F.count("value").alias("distincts"),
-                F.coalesce(F.max(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("mode_n"),
-                F.max(F.when(F.col("value").isNotNull(), F.struct("n", "value")))["value"].alias("mode"),
-            )
-            .withColumn("columnname", self.column_name())
-            .drop("col")
-        )
+    def metrics(self, state: DataFrame, mode: bool = True) -> DataFrame:
+        """(group, number, columnname, total, nulls, distincts, mode_n, v0, v1, ..., mode) from a state.
 
-    def violations(self, constraints: DataFrame) -> DataFrame:
+        Without ``mode`` all figures are numbers, which one hash aggregate adds up.
+        """
+        there = F.col("value").isNotNull()
+        figures = [
+            F.sum("n").alias("total"),
+            F.sum(F.when(there, 0).otherwise(F.col("n"))).alias("nulls"),
+            F.count("value").alias("distincts"),
+            F.coalesce(F.max(F.when(there, F.col("n"))), F.lit(0)).alias("mode_n"),
+            *(F.sum(f"v{j}").alias(f"v{j}") for j in range(len(self.kinds()))),
+        ]
+        if mode:
+            figures.append(F.max(F.when(there, F.struct("n", "value")))["value"].alias("mode"))
+        return state.groupBy(self.group, self.number, "col").agg(*figures).withColumn("columnname", self.column_name()).drop("col")
+
+    def violations(self, metrics: DataFrame) -> DataFrame:
         """(group, number, columnname, finding, n) where n > 0."""
-        each = F.array(*(F.struct(F.lit(c.column).alias("columnname"), F.lit(c.finding).alias("finding"), F.col(f"v{i}").alias("n")) for i, c in enumerate(self.all_checks())))
-        return constraints.select(self.group, self.number, F.inline(each)).where("n > 0")
+        each = F.array(*(F.struct(F.lit(k).alias("finding"), F.col(f"v{j}").alias("n")) for j, k in enumerate(self.kinds())))
+        return metrics.select(self.group, self.number, "columnname", F.inline(each)).where("n > 0")
 
     def profile(self, df: DataFrame) -> DataFrame:
         """The whole profile of each load, a row a column.
@@ -111,7 +123,7 @@ class LoadProfile:
             values = {"rc": F.lit(c), "minvalue": F.col(f"min{i}"), "maxvalue": F.col(f"max{i}"), "longest": F.col(f"longest{i}"), "lengthreached": reached, "patterns": number("pattern"), "outofrange": number("range")}
             each.append(F.struct(*(v.alias(k) for k, v in values.items())))
         ranges = df.groupBy(F.col(self.group).alias("rg"), F.col(self.number).alias("rn")).agg(*aggs).select("rg", "rn", F.inline(F.array(*each)))
-        metrics = self.metrics(self.value_state(df)).select(self.group, self.number, "columnname", "total", "nulls", "distincts", "mode", "mode_n")
+        metrics = self.metrics(self.state(df)).select(self.group, self.number, "columnname", "total", "nulls", "distincts", "mode", "mode_n")
         return metrics.join(ranges, F.expr(f"`{self.group}` <=> rg and `{self.number}` <=> rn and columnname = rc")).drop("rg", "rn", "rc")
 
     def drift(self, metrics: DataFrame, share: str = "0.107", part: str = "0.5") -> DataFrame:
@@ -153,13 +165,10 @@ class LoadProfile:
         wrong = ~(F.col("nullvalues").eqNullSafe(F.col("nulls")) & F.col("distinctvalues").eqNullSafe(F.col("distincts")) & F.col("maxlengthreached").eqNullSafe(F.col("reached")))
         return said.join(true, F.expr(f"`{self.group}` <=> tg and `{self.number}` <=> tn and columnname = tc")).where(wrong).select(self.group, self.number, "columnname").distinct()
 
-    def findings(self, df: DataFrame, report: DataFrame) -> DataFrame:
+    def findings(self, metrics: DataFrame, report: DataFrame) -> DataFrame:
         """All findings of all loads: (group, number, columnname, finding)."""
-        from loamwork.storage import settle
-
         keys = [self.group, self.number, "columnname", "finding"]
-        metrics = settle(self.metrics(self.value_state(df)), "metrics")
-        violations = settle(self.violations(self.constraint_state(df)), "violations")
+        violations = self.violations(metrics)
         return (
             violations.select(*keys)
             .union(self.drift(metrics).select(*keys))
@@ -167,6 +176,77 @@ class LoadProfile:
         )
 
 
+class ProfileStore:
+    """States and metrics of the loads added so far; with ``path`` kept there, and opened again by a later session.
+
+    Kinds of runs: ``state``, bucketed by load and value, one a slice; ``loads``, which slice has which load;
+    ``metrics``, a row a load and column, of which the last slice's count.
+    """
+
+    def __init__(self, spark: SparkSession, profile: LoadProfile, path: str | None = None, buckets: int | None = None) -> None:
+        self.spec = profile
+        self.store = RunStore(spark, path, {"buckets": buckets or shuffle_partitions(spark), "columns": profile.columns, "kinds": profile.kinds()}, "profile")
+        if (self.store.settings["columns"], self.store.settings["kinds"]) != (profile.columns, profile.kinds()):
+            raise ValueError("the store profiles other columns or checks")
+        self.buckets = self.store.settings["buckets"]
+
+    def add(self, df: DataFrame, batch_id: str | None = None) -> None:
+        """Add rows; whole loads or pieces of some. Reads these rows, and of the states those of the same loads.
+
+        A batch of an id added before changes nothing.
+        """
+        if batch_id is not None and batch_id in self.store.batches:
+            return
+        spec, former, listed = self.spec, self.store.of("state"), self.store.of("loads")
+        cells = [spec.group, spec.number, "col", "value"]
+        # the aggregate has put its rows where the buckets are, if there are as many
+        placed = self.buckets == shuffle_partitions(self.store.spark)
+        new = self.store.add("state", spec.state(df), cells, self.buckets, placed=placed).df()
+        here = new.where("col = 0").select(F.col(spec.group).alias("lg"), F.col(spec.number).alias("ln")).distinct()
+        loads = self.store.add("loads", here.withColumn("slice", F.lit(len(former))), "ln", self.buckets).df().drop("slice")
+        if former:
+            known = listed[0].df()
+            for r in listed[1:]:
+                known = known.unionByName(r.df())
+            both = loads.select(F.col("lg").alias("g"), F.col("ln").alias("n"))
+            slices = known.join(both, F.expr("lg <=> g and ln <=> n"), "left_semi").select("slice").distinct().collect()  # numbers of runs
+            same = F.col(spec.group).eqNullSafe(F.col("lg")) & F.col(spec.number).eqNullSafe(F.col("ln"))
+            if slices:
+                new = spec.merge(new, *(former[s[0]].df().join(loads, same, "left_semi") for s in sorted(slices)))
+        self.store.compact("loads", 2, lambda runs: runs[0].unionByName(runs[1]))
+        version = F.lit(self.store.version).alias("version")
+        self.store.add("metrics", spec.metrics(new, mode=False).select("*", version), "columnname", self.buckets)
+        self.store.compact("metrics", 2, self._last)
+        self.store.publish(batch_id)
+
+    def _last(self, runs: list[DataFrame]) -> DataFrame:
+        """The newest metrics of each load and column."""
+        out = runs[0]
+        for r in runs[1:]:
+            out = out.unionByName(r)
+        keys = [self.spec.group, self.spec.number, "columnname"]
+        rest = [c for c in out.columns if c not in keys]
+        return out.groupBy(*keys).agg(F.max(F.struct("version", *(c for c in rest if c != "version"))).alias("x")).select(*keys, *(F.col(f"x.{c}") for c in rest)).select(*out.columns)
+
+    def state(self) -> DataFrame:
+        """The state of all loads."""
+        return self.spec.merge(*(r.df() for r in self.store.of("state")))
+
+    def metrics(self) -> DataFrame:
+        """The metrics of all loads, as of ``LoadProfile.metrics`` without the modes themselves."""
+        runs = [r.df() for r in self.store.of("metrics")]
+        return (self._last(runs) if len(runs) > 1 else runs[0]).drop("version")
+
+    def findings(self, report: DataFrame) -> DataFrame:
+        return self.spec.findings(self.metrics(), report)
+
+    def control_limits(self, loads: int = 5, sigmas: float = 3.0) -> DataFrame:
+        return self.spec.control_limits(self.metrics(), loads, sigmas)
+
+    def close(self) -> None:
+        self.store.close()
+
+
 DIGIT_OR_CONTROL = r"regexp_like(`{0}`, '[\\p{{Nd}}\\x00-\\x1f]')"
 
 CUSTOMER_LOADS = LoadProfile(

@@ -1,6 +1,9 @@
 import datetime as dt
 
+import pytest
+
 from loamwork.operators.load_profile import CUSTOMER_LOADS as P
+from loamwork.operators.load_profile import LoadProfile, ProfileStore
 
 SCHEMA = "sourcerowid long, feedcode string, snapshotno int, snapshotdate date, deliveredat timestamp, customerid int, dateofbirth date, firstname string, lastname string, email string, country string, age int, loyaltypoints int, columnname string"
 REPORT = "profileid long, feedcode string, snapshotno int, columnname string, nullvalues long, distinctvalues long, maxlengthreached int"
@@ -14,7 +17,9 @@ def row(n, snap=1, **over):
 
 
 def run(spark, data, report=()):
-    found = P.findings(spark.createDataFrame(data, SCHEMA), spark.createDataFrame(list(report), REPORT))
+    store = ProfileStore(spark, P)
+    store.add(spark.createDataFrame(data, SCHEMA))
+    found = store.findings(spark.createDataFrame(list(report), REPORT))
     return sorted(tuple(r)[1:] for r in found.collect())
 
 
@@ -47,12 +52,32 @@ def test_stored_profile(spark):
 
 def test_states_of_slices_add_up(spark, rows):
     data = spark.createDataFrame([row(n, 1 + n % 2, country=None if n % 3 else "X") for n in range(30)], SCHEMA)
-    whole, a, b = P.value_state(data), P.value_state(data.where("sourcerowid < 11")), P.value_state(data.where("sourcerowid >= 11"))
-    assert rows(P.merge(a, b).select(*whole.columns)) == rows(whole)
-    whole, a, b = (P.constraint_state(x) for x in (data, data.where("sourcerowid < 11"), data.where("sourcerowid >= 11")))
+    whole, a, b = P.state(data), P.state(data.where("sourcerowid < 11")), P.state(data.where("sourcerowid >= 11"))
     assert rows(P.merge(a, b).select(*whole.columns)) == rows(whole)
 
 
+def test_loads_are_added_one_after_another_and_in_pieces(spark, rows, tmp_path):
+    data = [row(n, 1 + n % 4, country=None if n % 3 else "X1", age=130 if n == 7 else 40, loyaltypoints=n % 5) for n in range(60)]
+    df = spark.createDataFrame(data, SCHEMA)
+    report = spark.createDataFrame([(1, "f", 1, "age", 0, 9, None)], REPORT)
+    whole = ProfileStore(spark, P)
+    whole.add(df)
+    path = f"file://{tmp_path}/profile"
+    slices = ["snapshotno = 1", "snapshotno = 2 and sourcerowid < 30", "snapshotno in (3, 4)", "snapshotno = 2 and sourcerowid >= 30", "snapshotno = 9"]
+    for n, where in enumerate(slices):
+        store = ProfileStore(spark, P, path)
+        for _ in range(2):  # delivered twice
+            store.add(df.where(where), f"b{n}")
+        store.close()
+    kept = ProfileStore(spark, P, path)
+    assert len(kept.store.of("state")) == 5
+    same = lambda a, b: rows(a.select(*b.columns)) == rows(b)
+    assert same(kept.state(), whole.state()) and same(kept.metrics(), whole.metrics()) and whole.metrics().count() == 32
+    assert rows(kept.findings(report)) == rows(whole.findings(report)) and rows(kept.control_limits(2)) == rows(whole.control_limits(2))
+    with pytest.raises(ValueError):
+        ProfileStore(spark, LoadProfile("feedcode", "snapshotno", ["age"]), path)
+
+
 def test_whole_profile_has_ranges_lengths_violations_and_the_mode(spark):
     data = [row(1, age=9, loyaltypoints=-5, country="A1"), row(2, age=10, loyaltypoints=100, firstname="  " + "b" * 98 + " "), row(3, age=10, loyaltypoints=20, country=None, email=None), row(4, 2, age=None)]
     found = {(r.snapshotno, r.columnname): tuple(r)[3:] for r in P.profile(spark.createDataFrame(data, SCHEMA)).collect()}
@@ -67,7 +92,7 @@ def test_whole_profile_has_ranges_lengths_violations_and_the_mode(spark):
 
 def test_control_limits_and_empty_table(spark):
     loads = [row(100 * s + n, s, age=40 + (n % 2), country=None if s == 6 else "Norland") for s in range(1, 7) for n in range(4)]
-    metrics = P.metrics(P.value_state(spark.createDataFrame(loads, SCHEMA)))
+    metrics = P.metrics(P.state(spark.createDataFrame(loads, SCHEMA)))
     found = {(r.snapshotno, r.columnname, r.metric) for r in P.control_limits(metrics).collect()}
     assert (6, "country", "null_share") in found and not any(c == "age" for _, c, _ in found)
     assert run(spark, []) == []
