@@ -77,7 +77,9 @@ class Ledger:
         if batch_id is not None and batch_id in self.store.batches:
             return 0
         before = self.store.written
-        self.store.add("keys", batch.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "key", self.buckets)
+        # the aggregate has put its rows where the buckets are, if there are as many
+        placed = self.buckets == shuffle_partitions(self.store.spark)
+        self.store.add("keys", batch.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "key", self.buckets, placed=placed)
         self.store.compact("keys", self.fanout, _sum, placed=True)
         self.store.publish(batch_id)
         return self.store.written - before
