@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.storage import Parts, drop, settle
+from loamwork.storage import Parts, Run, drop, settle, shuffle_partitions
 
 
 def _links(links: DataFrame, parent: Column, child: Column) -> tuple[DataFrame, DataFrame]:
@@ -33,35 +33,64 @@ def _links(links: DataFrame, parent: Column, child: Column) -> tuple[DataFrame,
     return nodes, edges
 
 
-def _hops(edges: DataFrame, levels: int, sep: str = "") -> DataFrame:
-    """(src, dst, level, text) of all ways of up to ``levels`` edges (src, dst, text); the shortest, then the least text.
+def _hops(edges: DataFrame, levels: int, sep: str | None = None) -> DataFrame:
+    """(src, dst, level) of all ways of up to ``levels`` edges (src, dst), the shortest; with ``sep`` also the least text of those.
 
     Each join doubles the levels. These pairs are part of the closure, so they are never more than the result.
     """
-    least = lambda df: df.groupBy("src", "dst").agg(F.min(F.struct("level", "text")).alias("x")).select("src", "dst", "x.*")
-    hops, reach = edges.select("src", "dst", F.lit(1).alias("level"), "text"), 1
+    if sep is None:
+        least = lambda df: df.groupBy("src", "dst").agg(F.min("level").alias("level"))
+        texts: list = []
+    else:
+        least = lambda df: df.groupBy("src", "dst").agg(F.min(F.struct("level", "text")).alias("x")).select("src", "dst", "x.*")
+        texts = [F.concat("first", F.lit(sep), "text").alias("text")]
+    hops, reach = edges.select("src", "dst", F.lit(1).alias("level"), *(["text"] if texts else [])), 1
     while reach < levels:
-        far = hops.where(F.col("level") == reach).select("src", F.col("dst").alias("mid"), F.col("text").alias("first"))
-        on = hops.select(F.col("src").alias("mid"), "dst", "level", "text")
-        further = far.join(on, "mid").select("src", "dst", (F.col("level") + reach).alias("level"), F.concat("first", F.lit(sep), "text").alias("text"))
+        far = hops.where(F.col("level") == reach).select("src", F.col("dst").alias("mid"), *([F.col("text").alias("first")] if texts else []))
+        on = hops.withColumnRenamed("src", "mid")
+        further = far.join(on, "mid").select("src", "dst", (F.col("level") + reach).alias("level"), *texts)
         former, hops, reach = hops, settle(least(hops.union(further)), "hops"), reach * 2
         drop(former)
     return hops
 
 
-def _pairs(edges: DataFrame, levels: int = 8) -> DataFrame:
-    """All (anc, node) over one or more links; each frontier join goes ``levels`` levels, a power of two, down."""
-    hops = _hops(edges.withColumn("text", F.lit("")), levels)
-    frontier = hops.select(F.col("src").alias("anc"), F.col("dst").alias("node"), "level")
+def _both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of two runs without a pair in common, bucket by bucket."""
+    return a.select("anc", "node", "level").join(b.select("anc", "node", F.col("level").alias("other")), ["anc", "node"], "full_outer").select("anc", "node", F.coalesce("level", "other").alias("level"))
+
+
+def _pairs(edges: DataFrame, levels: int = 8, most: int = 6) -> DataFrame:
+    """All (anc, node) over one or more links; each frontier join goes ``levels`` levels, a power of two, down.
+
+    What was reached lies bucketed by pair. What a round finds is grouped by pair, and so meets it without moving it;
+    frontiers and links are shuffled by node, where adaptive execution splits a node that very many ways pass.
+    """
+    buckets = shuffle_partitions(edges.sparkSession)
+    hops = _hops(edges, levels)
+    frontier = Run(hops.select(F.col("src").alias("anc"), F.col("dst").alias("node"), "level"), ["anc", "node"], buckets, "pairs")
     step = hops.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("level").alias("down"))
-    reached = Parts(frontier, "pairs")
+    runs = [frontier]
     while True:
-        last = frontier.where(F.col("level") == levels).select("anc", "node")
+        last = frontier.df().where(F.col("level") == levels).select("anc", "node")
         found = last.join(step, "node").groupBy("anc", F.col("next").alias("node")).agg(F.min("down").alias("level"))
-        frontier = settle(found.join(reached.df(), ["anc", "node"], "left_anti"), "pairs")
-        if frontier.isEmpty():
-            return reached.df().select("anc", "node")
-        reached.add(frontier)
+        for r in runs:
+            found = found.join(r.df().select("anc", "node"), ["anc", "node"], "left_anti")
+        frontier = Run(found, ["anc", "node"], buckets, "pairs", placed=True)
+        if frontier.df().isEmpty():
+            frontier.drop()
+            break
+        if len(runs) == most:
+            merged = runs[0].df()
+            for r in runs[1:]:
+                merged = _both(merged, r.df())
+            old, runs = runs, [Run(merged, ["anc", "node"], buckets, "pairs", placed=True)]
+            for r in old:
+                r.drop()
+        runs.append(frontier)
+    out = runs[0].df().select("anc", "node")
+    for r in runs[1:]:
+        out = out.union(r.df().select("anc", "node"))
+    return out
 
 
 def descendants(links: DataFrame, parent: Column, child: Column) -> DataFrame:
@@ -105,7 +134,10 @@ def hierarchy(links: DataFrame, parent: Column, child: Column, separator: str =
     reached = _walk(start, edges, nodes, separator)
     unreached = nodes.join(reached, nodes.id == reached.node, "left_anti")
     if not unreached.isEmpty():
-        mutual = pairs.alias("x").join(pairs.alias("y"), F.expr("x.anc = y.node and x.node = y.anc")).select("x.anc", "x.node")
+        # only nodes on cycles, which are their own descendants, can reach each other
+        cyclic = pairs.where("anc = node").select("anc")
+        among = settle(pairs.join(cyclic, "anc", "left_semi").join(cyclic.withColumnRenamed("anc", "node"), "node", "left_semi").select("anc", "node"), "cyclic")
+        mutual = among.alias("x").join(among.alias("y"), F.expr("x.anc = y.node and x.node = y.anc")).select("x.anc", "x.node")
         above = pairs.join(mutual, ["anc", "node"], "left_anti").select(F.col("node").alias("id")).distinct()
         top = mutual.select(F.col("anc").alias("id"), F.col("node").alias("peer")).join(unreached, "id").join(above, "id", "left_anti")
         entry = top.join(nodes.select(F.col("id").alias("peer"), F.col("name").alias("peer_name")), "peer").groupBy("id", "name").agg(F.min("peer_name").alias("least")).where("name = least")
