@@ -76,7 +76,7 @@ def lineage_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cleansed(spark: SparkSession, d: str) -> DataFrame:
-    return cleanse(lineage_parsed(spark, d), table(spark, d, "lng_objectlist"), SERVER)
+    return cleanse(settle(lineage_parsed(spark, d), "parsed"), table(spark, d, "lng_objectlist"), SERVER)
 
 
 def _lowered(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -136,7 +136,7 @@ def object_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parsed_versus_expression_report(spark: SparkSession, d: str) -> DataFrame:
-    found = parsed_versus_expression(lineage_parsed(spark, d), table(spark, d, "lng_objectexpressiondependency"), table(spark, d, "lng_objectlist"))
+    found = parsed_versus_expression(settle(lineage_parsed(spark, d), "parsed"), table(spark, d, "lng_objectexpressiondependency"), table(spark, d, "lng_objectlist"))
     return _lowered(found, [*SOURCE, *TARGET]).distinct()
 
 

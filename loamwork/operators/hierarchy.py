@@ -59,7 +59,7 @@ def _both(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("anc", "node", "level").join(b.select("anc", "node", F.col("level").alias("other")), ["anc", "node"], "full_outer").select("anc", "node", F.coalesce("level", "other").alias("level"))
 
 
-def _pairs(edges: DataFrame, levels: int = 8, most: int = 6) -> DataFrame:
+def _pairs(edges: DataFrame, levels: int = 8) -> DataFrame:
     """All (anc, node) over one or more links; each frontier join goes ``levels`` levels, a power of two, down.
 
     What was reached lies bucketed by pair. What a round finds is grouped by pair, and so meets it without moving it;
@@ -69,26 +69,25 @@ def _pairs(edges: DataFrame, levels: int = 8, most: int = 6) -> DataFrame:
     hops = _hops(edges, levels)
     frontier = Run(hops.select(F.col("src").alias("anc"), F.col("dst").alias("node"), "level"), ["anc", "node"], buckets, "pairs")
     step = hops.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("level").alias("down"))
-    runs = [frontier]
+    tiers = [(0, frontier)]
     while True:
         last = frontier.df().where(F.col("level") == levels).select("anc", "node")
         found = last.join(step, "node").groupBy("anc", F.col("next").alias("node")).agg(F.min("down").alias("level"))
-        for r in runs:
+        for _, r in tiers:
             found = found.join(r.df().select("anc", "node"), ["anc", "node"], "left_anti")
-        frontier = Run(found, ["anc", "node"], buckets, "pairs", placed=True)
-        if frontier.df().isEmpty():
-            frontier.drop()
+        new = Run(found, ["anc", "node"], buckets, "pairs", placed=True)
+        if new.df().isEmpty():
+            new.drop()
             break
-        if len(runs) == most:
-            merged = runs[0].df()
-            for r in runs[1:]:
-                merged = _both(merged, r.df())
-            old, runs = runs, [Run(merged, ["anc", "node"], buckets, "pairs", placed=True)]
-            for r in old:
-                r.drop()
-        runs.append(frontier)
-    out = runs[0].df().select("anc", "node")
-    for r in runs[1:]:
+        # two runs of a tier become one of the next, but for the frontier itself
+        while len(tiers) > 2 and tiers[-3][0] == tiers[-2][0]:
+            (tier, a), (_, b) = tiers[-3], tiers[-2]
+            tiers[-3:-1] = [(tier + 1, Run(_both(a.df(), b.df()), ["anc", "node"], buckets, "pairs", placed=True))]
+            a.drop(), b.drop()
+        frontier = new
+        tiers.append((0, new))
+    out = tiers[0][1].df().select("anc", "node")
+    for _, r in tiers[1:]:
         out = out.union(r.df().select("anc", "node"))
     return out
 
