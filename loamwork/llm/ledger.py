@@ -104,8 +104,15 @@ class Ledger:
 
 
 def _sum(runs: list[DataFrame]) -> DataFrame:
-    """Runs full-outer-joined bucket by bucket: counts add up, and the least id stays."""
+    """Runs full-outer-joined bucket by bucket: counts add up, and the least id stays.
+
+    What a full outer join gives counts as placed nowhere, so more than two runs are grouped in one shuffle instead.
+    """
     out = runs[0]
+    if len(runs) > 2:
+        for r in runs[1:]:
+            out = out.union(r.select(*out.columns))
+        return out.groupBy("key").agg(F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"))
     for r in runs[1:]:
         other = r.select("key", F.col("first_id").alias("f"), F.col("copies").alias("c"))
         out = out.join(other, "key", "full_outer").select("key", F.least("first_id", "f").alias("first_id"), (F.coalesce("copies", F.lit(0)) + F.coalesce("c", F.lit(0))).alias("copies"))

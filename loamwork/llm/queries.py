@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamwork.llm.leakage import find_leaks, remove_leaks
 from loamwork.llm.ledger import build_ledger, definition_keys, parsed_dependency_keys
 from loamwork.llm.packing import check, fill, pack
-from loamwork.llm.shared_spans import shared_share, sharing_pairs
+from loamwork.llm.shared_spans import class_members, shared_share, sharing_pairs
 from loamwork.sources.tables import table
 from loamwork.storage import settle
 
@@ -59,11 +59,19 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sharing_pairs(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return class_members(table(spark, d, "documents"))[0]
+
+
+def p9_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return class_members(table(spark, d, "documents"))[1]
+
+
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p7_packed, p7_fill, p7_check, p8_found, p8_leaks, p8_removed, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p7_packed, p7_fill, p7_check, p8_found, p8_leaks, p8_removed, p9_found, p9_classes, p9_class_pairs, p9_shared)}
 
 _L = lambda c: f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
 _ORDERED = ["sourceserver", "sourcedatabase", "sourceschema", "sourceobject", "operationtype", "targetserver", "targetdatabase"]
@@ -95,6 +103,15 @@ p AS (SELECT DISTINCT a, b FROM (SELECT unnest(ns) AS a, ns FROM s), LATERAL (SE
 x AS (SELECT unnest(ua.ids) AS d, ub.ids AS other FROM p JOIN u ua ON ua.n = p.a JOIN u ub ON ub.n = p.b),
 y AS (SELECT d, unnest(other) AS e FROM x UNION ALL SELECT d, e FROM (SELECT unnest(ids) AS d, ids FROM u WHERE len(ids) > 1), LATERAL (SELECT unnest(ids) AS e) WHERE d < e)
 SELECT DISTINCT least(d, e) AS doc_id_a, greatest(d, e) AS doc_id_b FROM y""",
+    "p9_class_pairs": f"""WITH {_WINDOWS},
+s AS (SELECT DISTINCT ns FROM g),
+p AS (SELECT DISTINCT a, b FROM (SELECT unnest(ns) AS a, ns FROM s), LATERAL (SELECT unnest(ns) AS b) WHERE a < b)
+SELECT least(list_min(ua.ids), list_min(ub.ids)) AS class_a, greatest(list_min(ua.ids), list_min(ub.ids)) AS class_b FROM p JOIN u ua ON ua.n = p.a JOIN u ub ON ub.n = p.b""",
+    "p9_classes": f"""WITH {_WINDOWS},
+s AS (SELECT DISTINCT ns FROM g),
+p AS (SELECT DISTINCT a, b FROM (SELECT unnest(ns) AS a, ns FROM s), LATERAL (SELECT unnest(ns) AS b) WHERE a <> b),
+l AS (SELECT a AS n, count(*) AS links FROM p GROUP BY 1)
+SELECT unnest(ids) AS doc_id, list_min(ids) AS class_doc_id, coalesce(links, 0) AS links FROM u LEFT JOIN l USING (n)""",
     "p9_shared": f"""WITH {_WINDOWS},
 k AS (SELECT n, i, lead(i) OVER (PARTITION BY n ORDER BY i) AS later FROM w WHERE h IN (SELECT h FROM g)),
 c AS (SELECT n, sum(least(300, coalesce(later - i, 300))) AS c FROM k GROUP BY n),

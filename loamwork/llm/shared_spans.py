@@ -471,6 +471,22 @@ def sharing_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return across.union(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
+def class_members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal texts: members (doc_id, class_doc_id, links) and pairs (class_a, class_b) of classes with a stretch in common.
+
+    A class is named by its least document. ``links`` is the number of other classes that share a stretch with it. Membership and
+    pairs say what ``sharing_pairs`` says without expanding copies, so a large group of copies costs a row a document.
+    """
+    members, spans = found_spans(docs, doc_id, text, span)
+    firsts = settle(members.groupBy("cls").agg(F.min("doc").alias("first")), "firsts")
+    named = lambda c, as_: firsts.select(F.col("cls").alias(c), F.col("first").alias(as_))
+    both = settle(spans.select("a", "b").distinct().join(named("a", "x"), "a").join(named("b", "y"), "b").select("x", "y"), "pairs")
+    links = both.select("x").union(both.select("y")).groupBy("x").agg(F.count(F.lit(1)).alias("links"))
+    of = members.select("cls", "doc").distinct().join(firsts, "cls").join(links.withColumnRenamed("x", "first"), "first", "left")
+    pairs = both.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"))
+    return of.select(F.col("doc").alias(doc_id), F.col("first").alias(f"class_{doc_id}"), F.coalesce("links", F.lit(0)).alias("links")), pairs
+
+
 def shared_share(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:
     """(doc_id, n_chars, shared_chars, shared_share): how much of each document stands elsewhere in spans of ``span`` or more.
 
