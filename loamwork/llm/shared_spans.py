@@ -145,8 +145,7 @@ def _stored(docs: DataFrame, seed: int, span: int, gram: int, slots: list[int])
     they are. ``text`` and its window hashes are given once for a class and task, else null.
     """
     long = docs.where(F.length("text") >= span)
-    slot = F.element_at(F.array(*map(F.lit, slots)), F.pmod(F.spark_partition_id(), F.lit(len(slots))) + 1)
-    marked = long.select(slot.alias("slot"), F.xxhash64(F.lit(seed), "text").alias("cls"), "doc", F.length("text").alias("n"), F.unhex(F.md5("text")).alias("digest"), "text")
+    marked = long.select(F.spark_partition_id().alias("task"), F.xxhash64(F.lit(seed), "text").alias("cls"), "doc", F.length("text").alias("n"), F.unhex(F.md5("text")).alias("digest"), "text")
     kind = marked.schema["doc"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +164,8 @@ def _stored(docs: DataFrame, seed: int, span: int, gram: int, slots: list[int])
             for k, i in enumerate(rows):
                 s, e = at[k], at[k + 1]
                 prints[i] = h[s:e].astype("<u8").tobytes() + place[s:e].astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(texts, pa.string()), pa.array(prints, pa.binary())], ["slot", "cls", "doc", "n", "digest", "text", "prints"])
+            slot = [slots[t % len(slots)] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), *b.columns[1:5], pa.array(texts, pa.string()), pa.array(prints, pa.binary())], ["slot", "cls", "doc", "n", "digest", "text", "prints"])
 
     return marked.mapInArrow(make, f"slot int, cls long, doc {kind}, n int, digest binary, text string, prints binary")
 
@@ -293,7 +293,7 @@ class SpanIndex:
 
     With ``path`` the index is kept there, and opened again by a later session; its parameters
     are then those it was made with. As many buckets as the session has shuffle partitions, unless given.
-    Kinds of runs: ``texts`` where they were read, one a batch; ``classes`` (cls, digest, doc, slot, batch), the place of
+    Kinds of runs: ``texts``, in the bucket of the task that read them; ``classes`` (cls, digest, doc, slot, batch), the place of
     each class's text; ``hashes`` (fp, cls, pos, batch); ``hot`` (fp) and ``wide`` (fp, cls, pos), the windows of hot hashes' places.
     """
 
@@ -306,7 +306,7 @@ class SpanIndex:
     @property
     def number(self) -> int:
         """Number of the batch that is being absorbed."""
-        return len(self.store.of("texts"))
+        return self.store.version
 
     def compact(self, *kinds: str) -> None:
         for kind in kinds:
@@ -324,14 +324,15 @@ class SpanIndex:
         grouped = places.groupBy("cls").agg(F.collect_set(place).alias("places"))
         located = None
         for r in self.store.of("classes"):
-            one = r.df().select("cls", "doc", "slot", "batch").join(grouped, "cls")
+            one = r.df().select("cls", "doc", "slot").join(grouped, "cls")
             located = one if located is None else located.union(one)
+        runs = self.store.of("texts")
+        located = (settle(located, "places") if len(runs) > 1 else located).select("slot", "cls", "doc", "places")
         out = None
-        for n, r in enumerate(self.store.of("texts")):
+        for r in runs:
             texts = r.df().where("text is not null").select("slot", "cls", "doc", "text")
-            here = located.where(F.col("batch") == n).select("slot", "cls", "doc", "places")
-            # rows repeated within a bucket have the same text
-            one = texts.join(here, ["slot", "cls", "doc"]).select("cls", "text", "places", "slot")
+            # a row that comes again in the same bucket has the same text
+            one = texts.join(located, ["slot", "cls", "doc"]).select("cls", "text", "places", "slot")
             out = one if out is None else out.union(one)
         return out
 
@@ -426,6 +427,7 @@ class SpanIndex:
         chains = settle(_chains(_union([*matches, *([] if hot is None else [hot])]), self.gram), "chains")
         verified = _verify(chains, self).distinct()
         self.compact("classes", "wide", "hot")
+        self.store.compact("texts", 2 * self.fanout, _union, placed=True)  # each text stays in its bucket
         self.store.publish(batch_id)
         for m in (*matches, *self.touched, chains):
             drop(m)

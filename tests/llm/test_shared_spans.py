@@ -103,12 +103,17 @@ def test_an_index_outlives_its_session_and_an_interrupted_batch(spark, tmp_path,
         index.store.add("hashes", spark.createDataFrame([(1, 1, 1, 9)], "fp long, cls long, pos int, batch int"), "fp", 3)  # never published
         index.close()
     kept = SpanIndex(spark, hot=hot, path=path)
-    assert kept.buckets == 3 and kept.number == 3
+    assert kept.buckets == 3 and kept.number == 3 and len(kept.store.of("texts")) == 3
     whole = {tuple(r) for r in found_spans(docs(spark, texts), hot=hot)[1].collect()}
     assert found == whole and whole
     # two copies of a text told before bring nothing new
     again = [(900, texts[3][1]), (901, texts[3][1])]
     assert kept.absorb(docs(spark, again).selectExpr("doc_id as doc", "text")).count() == 0
+    assert len(kept.store.of("texts")) == 1  # merged where they are
+    near = [(950, "z" + texts[3][1])]
+    members = {r.cls: r.doc for r in kept.members().where("doc < 100").collect()}
+    pairs = {tuple(sorted((members.get(r.a, 950), members.get(r.b, 950)))) for r in kept.absorb(docs(spark, near).selectExpr("doc_id as doc", "text")).collect()}
+    assert pairs == {p for p in brute([*texts[:40], *near], 300) if 950 in p}
 
 
 def test_empty_table(spark):
