@@ -25,7 +25,8 @@ texts share only if they belong together.
 
 Defined results: null texts and texts shorter than ``span`` share nothing; a
 span within one text doesn't count; texts are read whole, and long ones in
-overlapping pieces; repeated rows of a document are one; empty tables give no
+overlapping pieces; repeated rows of a document are one; a document without an
+id counts as another's other text, but is in no pair and given no share of its own; empty tables give no
 rows. Other columns are ignored.
 """
 
@@ -186,8 +187,8 @@ def _postings(prints: DataFrame) -> DataFrame:
 
 
 @contextlib.contextmanager
-def _where_the_texts_are(spark: SparkSession) -> Iterator[None]:
-    """Joins with the texts move the other side alone, to the texts' buckets, though they compare more columns than the texts are bucketed by."""
+def _where_the_runs_are(spark: SparkSession) -> Iterator[None]:
+    """Joins with bucketed runs leave these where they are, though they compare more columns than the runs are bucketed by."""
     name = "spark.sql.requireAllClusterKeysForCoPartition"
     former = spark.conf.get(name)
     spark.conf.set(name, "false")
@@ -273,7 +274,7 @@ def _verify(chains: DataFrame, index: SpanIndex) -> DataFrame:
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["a", "start_a", "b", "start_b", "size"])
 
-    with _where_the_texts_are(chains.sparkSession):
+    with _where_the_runs_are(chains.sparkSession):
         around = Run(_context(asked, slack), "slot", index.buckets, "context", placed=True, sort=False)
         x = around.df().select(F.col("slot").alias("slot_a"), F.col("cls").alias("a"), "start", "size", F.struct("before", "digest", "after").alias("x"))
         y = around.df().select(F.col("slot").alias("slot_b"), F.col("cls").alias("b"), F.col("start").alias("start_b"), "size", F.struct("before", "digest", "after").alias("y"))
@@ -309,8 +310,10 @@ class SpanIndex:
         return self.store.version
 
     def compact(self, *kinds: str) -> None:
-        for kind in kinds:
-            self.store.compact(kind, self.fanout, _union, placed=False)
+        """Merge runs of like size, bucket by bucket, without moving them."""
+        with _where_the_runs_are(self.spark):
+            for kind in kinds:
+                self.store.compact(kind, self.fanout, _merged, placed=True)
 
     def places(self) -> DataFrame:
         """(cls, slot) of all classes."""
@@ -332,14 +335,14 @@ class SpanIndex:
         for r in runs:
             texts = r.df().where("text is not null").select("slot", "cls", "doc", "text")
             # a row that comes again in the same bucket has the same text
-            one = texts.join(located, ["slot", "cls", "doc"]).select("cls", "text", "places", "slot")
+            one = _here(texts, located, "inner").select("cls", "text", "places", "slot")
             out = one if out is None else out.union(one)
         return out
 
     def _new_classes(self, texts: Run, batch: int) -> Run:
         """Run of the classes that the index didn't have, with the place of their text."""
         t = texts.df()
-        one = t.groupBy("cls").agg(F.min("digest").alias("digest"), F.max("digest").alias("other"), F.min(F.when(F.col("prints").isNotNull(), F.struct("doc", "slot"))).alias("at")).withColumn("known", F.lit(None).cast("binary"))
+        one = t.groupBy("cls").agg(F.min("digest").alias("digest"), F.max("digest").alias("other"), F.min(F.when(F.col("prints").isNotNull(), F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "slot"))).alias("at")).withColumn("known", F.lit(None).cast("binary"))
         for r in self.store.of("classes"):
             one = one.join(r.df().select("cls", F.col("digest").alias("k")), "cls", "left").withColumn("known", F.coalesce("known", "k")).drop("k")
         one = settle(one, "classes")
@@ -391,7 +394,7 @@ class SpanIndex:
             places = one if places is None else places.union(one)
         asked = self.asked(places.distinct(), F.col("pos"))
         former = [r.df() for r in self.store.of("wide")]
-        with _where_the_texts_are(self.spark):
+        with _where_the_runs_are(self.spark):
             new = self.store.add("wide", _wide_windows(asked, self.span, self.gram), "fp", self.buckets).df()
         w = new.select("fp", F.col("cls").alias("x"), F.col("pos").alias("p"))
         out = None
@@ -418,7 +421,7 @@ class SpanIndex:
         self._new_classes_run = self._new_classes(texts, batch)
         prints = texts.df().where("prints is not null").select("cls", "doc", "slot", "prints")
         if batch:  # classes of former batches are in the index already
-            prints = prints.join(self._new_classes_run.df().select("cls", "doc", "slot"), ["cls", "doc", "slot"], "left_semi")
+            prints = _here(prints, self._new_classes_run.df(), "left_semi")
         matches = []
         for i in range(batches):
             found = self._absorb_hashes(prints.where(F.pmod("cls", F.lit(batches)) == i), batch)
@@ -441,6 +444,24 @@ class SpanIndex:
         self.store.close()
 
 
+def _here(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """Rows of ``texts`` joined with the places (slot, cls, doc, ...) they have; documents may lack an id."""
+    other = places.select(*(F.col(c).alias(f"at_{c}" if c in ("slot", "cls", "doc") else c) for c in places.columns))
+    return texts.join(other, (F.col("slot") == F.col("at_slot")) & (F.col("cls") == F.col("at_cls")) & F.col("doc").eqNullSafe(F.col("at_doc")), how)
+
+
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    """Rows of runs of the same columns that have no row in common, merge-joined."""
+    out = runs[0]
+    for r in runs[1:]:
+        other = r.select(*(F.col(c).alias(f"other_{c}") for c in out.columns))
+        same = F.lit(True)
+        for c in out.columns:
+            same = same & (F.col(c) == F.col(f"other_{c}"))
+        out = out.join(other, same, "full_outer").select(*(F.coalesce(c, f"other_{c}").alias(c) for c in out.columns))
+    return out
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -466,7 +487,7 @@ def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
 def sharing_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:
     """(doc_id_a, doc_id_b) of all documents with ``span`` or more consecutive characters in common."""
     members, spans = found_spans(docs, doc_id, text, span)
-    m = members.select("cls", "doc").distinct()
+    m = members.select("cls", "doc").where("doc is not null").distinct()
     pairs = spans.select("a", "b").distinct()
     across = pairs.join(m.select(F.col("cls").alias("a"), F.col("doc").alias("x")), "a").join(m.select(F.col("cls").alias("b"), F.col("doc").alias("y")), "b").select("x", "y")
     within = m.select("cls", F.col("doc").alias("x")).join(m.select("cls", F.col("doc").alias("y")), "cls").where("x < y").select("x", "y")
@@ -480,6 +501,7 @@ def class_members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     pairs say what ``sharing_pairs`` says without expanding copies, so a large group of copies costs a row a document.
     """
     members, spans = found_spans(docs, doc_id, text, span)
+    members = members.where("doc is not null")
     firsts = settle(members.groupBy("cls").agg(F.min("doc").alias("first")), "firsts")
     named = lambda c, as_: firsts.select(F.col("cls").alias(c), F.col("first").alias(as_))
     both = settle(spans.select("a", "b").distinct().join(named("a", "x"), "a").join(named("b", "y"), "b").select("x", "y"), "pairs")

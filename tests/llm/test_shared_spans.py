@@ -66,6 +66,14 @@ def test_hot_hashes_lose_nothing(spark):
     assert plain == hot and plain
 
 
+def test_documents_without_an_id_hide_nothing(spark):
+    common = text(random.Random(5), 400)
+    df = docs(spark, [(None, common), (None, common), (1, common), (2, "x" + common), (None, "y" + common)])
+    assert sorted(tuple(r) for r in sharing_pairs(df).collect()) == [(1, 2)]
+    assert sorted((r.doc_id, r.shared_chars) for r in shared_share(df).where("doc_id is not null").collect()) == [(1, 400), (2, 400)]
+    assert sorted(r.shared_chars for r in shared_share(docs(spark, [(None, common), (3, common + "z")])).where("doc_id is not null").collect()) == [400]
+
+
 def test_texts_in_overlapping_pieces():
     rng = random.Random(3)
     long = text(rng, 700_000)
