@@ -43,10 +43,10 @@ def direct_orphans(references: DataFrame, key: Column, at: Column, records: Data
     return left.join(r, hit, "left_anti").drop("__key", "__at")
 
 
-def cascade(references: DataFrame, orphaned: DataFrame, key: Column, owner_keys: list[Column], row_id: str) -> DataFrame:
-    """(row_id, hop): 0 for the rows of ``orphaned``, n for rows that refer to the owner of a row of hop n - 1.
+def cascade(references: DataFrame, orphaned: DataFrame, key: Column, owner_keys: list[Column], row: str) -> DataFrame:
+    """The orphans among ``references`` with their ``hop``: 0 for those of ``orphaned``, n for rows that refer to the owner of a row of hop n - 1.
 
-    Works on distinct (referred key, owner keys), so a hot owner costs one row a round.
+    Works on distinct (referred key, owner keys), so a hot owner costs one row a round. ``row`` numbers the rows.
     """
     owners = F.array(*owner_keys)
     edges = settle(references.select(key.alias("key"), owners.alias("owners")).where("key is not null").distinct(), "fk")
@@ -61,9 +61,9 @@ def cascade(references: DataFrame, orphaned: DataFrame, key: Column, owner_keys:
         frontier = fresh
     levels = tainted.df()
     levels = levels.groupBy(F.col("key").alias("__key")).agg(F.min("hop").alias("__hop"))
-    direct = orphaned.select(row_id, F.lit(0).alias("hop"))
-    rest = references.withColumn("__key", key).join(levels, "__key").join(orphaned.select(F.col(row_id)).distinct(), row_id, "left_anti")
-    return direct.union(rest.select(row_id, (F.col("__hop") + 1).alias("hop")))
+    direct = orphaned.withColumn("hop", F.lit(0))
+    rest = references.withColumn("__key", key).join(levels, "__key").join(orphaned.select(row), row, "left_anti")
+    return direct.unionByName(rest.select(*references.columns, (F.col("__hop") + 1).alias("hop")))
 
 
 def object_orphans(expression_dependency: DataFrame, object_list: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def object_orphans(expression_dependency: DataFrame, object_list: DataFrame) ->
     """
     objects = object_list.select("objectid", full_key("servername", "databasename", "schemaname", "objectname").alias("name"), "createdate", "dropdate")
     records = existences(objects, [F.concat(F.lit("i"), F.col("objectid").cast("string")), F.concat(F.lit("n"), F.col("name"))], F.col("createdate"), F.col("dropdate"))
-    refs = expression_dependency.select(
+    rows = expression_dependency.select(
         "expressiondependencyid",
         "referencedobjecttype",
         "capturedate",
@@ -85,8 +85,9 @@ def object_orphans(expression_dependency: DataFrame, object_list: DataFrame) ->
         F.concat(F.lit("i"), F.col("referencingobjectid").cast("string")).alias("owner_id"),
         F.concat(F.lit("n"), full_key("referencingserver", "referencingdatabase", "referencingschema", "referencingobject")).alias("owner_name"),
     )
+    # rows may be equal or lack an id, so they are numbered, and written so that the numbers stay
+    refs = settle(rows.withColumn("row", F.monotonically_increasing_id()), "references")
     direct = settle(direct_orphans(refs, F.col("ref_key"), F.col("capturedate"), records), "orphans")
-    hops = cascade(refs, direct, F.col("ref_key"), [F.col("owner_id"), F.col("owner_name")], "expressiondependencyid")
-    found = hops.groupBy("expressiondependencyid").agg(F.min("hop").alias("hop"))
+    found = cascade(refs, direct, F.col("ref_key"), [F.col("owner_id"), F.col("owner_name")], "row")
     kind = F.when(F.col("hop") == 0, "direct").otherwise("inherited").alias("orphan_kind")
-    return refs.join(found, "expressiondependencyid").select("expressiondependencyid", "referencedobjecttype", "capturedate", kind, "hop")
+    return found.select("expressiondependencyid", "referencedobjecttype", "capturedate", kind, "hop")

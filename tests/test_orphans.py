@@ -20,7 +20,7 @@ def ref(n, owner, target_id=None, name=None, at=DAY[9]):
 
 def run(spark, objects, refs):
     found = object_orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(objects, OBJECTS))
-    return sorted(tuple(r) for r in found.select("expressiondependencyid", "orphan_kind", "hop").collect())
+    return sorted((tuple(r) for r in found.select("expressiondependencyid", "orphan_kind", "hop").collect()), key=repr)
 
 
 def test_missing_dropped_and_later_objects(spark):
@@ -29,7 +29,7 @@ def test_missing_dropped_and_later_objects(spark):
         ref(1, 90, 1), ref(2, 91, 2), ref(3, 92, 3), ref(4, 93, 77), ref(5, 94, None, " Back"), ref(6, 94, None, "back", DAY[6]), ref(7, 94, None, "none"),
         ref(8, 94, 77, "back"), ref(9, 94, 2, None, None), ref(10, 94, None, None), ref(11, 94, 2, None, DAY[0]), ref(11, 94, 2, None, DAY[0]), ref(12, 94, 2, None, DAY[8]),
     ]
-    direct = [n for n, kind, _ in run(spark, objects, refs) if kind == "direct"]
+    direct = sorted(n for n, kind, _ in run(spark, objects, refs) if kind == "direct")
     assert direct == [2, 3, 4, 6, 7, 8, 10]
 
 
@@ -40,6 +40,12 @@ def test_inherited_orphans_down_the_keys_and_around_a_cycle(spark):
     assert run(spark, objects, refs) == [(1, "direct", 0), (2, "inherited", 1), (3, "inherited", 2), (4, "inherited", 3), (5, "inherited", 4), (6, "inherited", 5)]
 
 
+def test_rows_without_an_id_and_repeated_rows_each_count(spark):
+    objects = [obj(1, "o1", None), obj(2, "o2", None)]
+    refs = [ref(None, 1, 99), ref(None, 1, 99), ref(5, 2, 1), ref(5, 2, 1), ref(None, 7, 2)]
+    assert run(spark, objects, refs) == sorted([(None, "direct", 0)] * 2 + [(5, "inherited", 1)] * 2 + [(None, "inherited", 2)], key=repr)
+
+
 def test_empty_tables(spark):
     assert run(spark, [], []) == []
     assert run(spark, [], [ref(1, 1, 1)]) == [(1, "direct", 0)]
