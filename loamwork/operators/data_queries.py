@@ -12,6 +12,7 @@ from loamwork.operators.orphans import object_orphans
 from loamwork.operators.packed_fields import split_fields
 from loamwork.operators.snapshots import snapshot_changes
 from loamwork.sources.tables import table
+from loamwork.storage import settle
 
 SOURCE, TARGET = (["sourceserver", "sourcedatabase", "sourceschema", "sourceobject"], ["targetserver", "targetdatabase", "targetschema", "targetobject"])
 COMPARED = ["dateofbirth", "firstname", "lastname", "email", "country", "age", "loyaltypoints"]
@@ -47,18 +48,21 @@ def p4_summary(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("feedcode", "snapshotno").agg(*(F.count_if(F.col("changekind") == k).alias(k) for k in ("added", "removed", "changed")))
 
 
-def _profiled(spark: SparkSession, d: str) -> ProfileStore:
+def _profiled(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of all loads, from a store that is kept no longer."""
     store = ProfileStore(spark, CUSTOMER_LOADS)
     store.add(table(spark, d, "mrg_scd1_source"))
-    return store
+    metrics = settle(store.metrics(), "metrics")
+    store.store.destroy()
+    return metrics
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _profiled(spark, d).findings(table(spark, d, "gen_objectdataprofile"))
+    return CUSTOMER_LOADS.findings(_profiled(spark, d), table(spark, d, "gen_objectdataprofile"))
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    return _profiled(spark, d).metrics().select("feedcode", "snapshotno", "columnname", "total", "nulls", "distincts", "mode_n")
+    return _profiled(spark, d).select("feedcode", "snapshotno", "columnname", "total", "nulls", "distincts", "mode_n")
 
 
 def p5_load_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +70,7 @@ def p5_load_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_control_limits(spark: SparkSession, d: str) -> DataFrame:
-    return _profiled(spark, d).control_limits().select("feedcode", "snapshotno", "columnname", "metric", *(F.round(c, 6).alias(c) for c in ("value", "mean", "deviation")))
+    return CUSTOMER_LOADS.control_limits(_profiled(spark, d)).select("feedcode", "snapshotno", "columnname", "metric", *(F.round(c, 6).alias(c) for c in ("value", "mean", "deviation")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

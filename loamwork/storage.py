@@ -45,8 +45,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def _forget(spark: SparkSession, folder: str) -> None:
     try:
-        for name in _names:
+        for name in list(_names):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001
+        _names.clear()
+    try:
         delete(spark, folder)
     except Exception:  # noqa: BLE001 - the session may be gone
         return
@@ -257,3 +260,8 @@ class RunStore:
         for _, _, r in self.runs:
             r.forget()
         self.runs = []
+
+    def destroy(self) -> None:
+        """Remove the state."""
+        self.close()
+        delete(self.spark, self.path)
