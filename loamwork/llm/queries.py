@@ -22,8 +22,12 @@ def _ledgers(spark: SparkSession, d: str):  # noqa: ANN202
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (ledger.copies(records).select(F.lit(name).alias("tablename"), "first_id", "copy_id") for name, records, ledger in _ledgers(spark, d))
-    return a.union(b)
+    out = None
+    for name, records, ledger in _ledgers(spark, d):
+        copies = ledger.copies(records).select(F.lit(name).alias("tablename"), "first_id", "copy_id")
+        ledger.store.destroy()  # the copies hang on the records and the repeated keys alone
+        out = copies if out is None else out.union(copies)
+    return out
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -479,9 +479,13 @@ def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
         index = SpanIndex(docs.sparkSession, span, span // 2, hot=hot, seed=seed)
         try:
             spans = index.absorb(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), batches)
-            return index.members(), spans
+            members = settle(index.members(), "members")
         except ClassClash:
+            index.store.destroy()
             seed += 1
+            continue
+        index.store.destroy()  # the texts go with it
+        return members, spans
 
 
 def sharing_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:
