@@ -201,7 +201,7 @@ class ProfileStore:
         cells = [spec.group, spec.number, "col", "value"]
         # the aggregate has put its rows where the buckets are, if there are as many
         placed = self.buckets == shuffle_partitions(self.store.spark)
-        new = self.store.add("state", spec.state(df), cells, self.buckets, placed=placed).df()
+        new = self.store.add("state", spec.state(df), cells, self.buckets, placed=placed, sort=False).df()
         here = new.where("col = 0").select(F.col(spec.group).alias("lg"), F.col(spec.number).alias("ln")).distinct()
         loads = self.store.add("loads", here.withColumn("slice", F.lit(len(former))), "ln", self.buckets).df().drop("slice")
         if former:
